@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import as_known_at
+from tidemark.operators.clocks import to_instants
 from tidemark.operators.history import FOREVER, bitemporal_ledger, current_history
 from tidemark.operators.intervals import continuous_periods
 from tidemark.operators.spikes import flag_readings
@@ -41,6 +42,15 @@ def p3_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.drop("_shard").withColumnRenamed("key", "security_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions, feed = load(spark, sf_dir, "sessions"), load(spark, sf_dir, "source_feed")
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("opens_at", "closes_at")]))
+    written = sessions.select(F.lit("sessions").alias("tab"), F.col("session_no").alias("row_no"), "clock", fields.alias("x")).select("tab", "row_no", "clock", "x.field", "x.text")
+    written = written.unionByName(feed.select(F.lit("source_feed").alias("tab"), F.col("feed_row").alias("row_no"), "clock", F.lit("available_at").alias("field"), F.col("available_at").alias("text")))
+    found = to_instants(written, load(spark, sf_dir, "clock_zones")).filter("instant_us is not null")
+    return found.select("tab", "row_no", "field", "instant_us").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_readings(load(spark, sf_dir, "quotes"), "security_id", "observed_at", "source_id", "price_usd").select(F.col("reading_id").alias("source_id"), "kind")
 
@@ -96,4 +106,4 @@ SQL = {
         union all select id, 'spike' from f""",
 }
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_ledger": p3_ledger, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_ledger": p3_ledger, "p5_found": p5_found, "p6_found": p6_found}

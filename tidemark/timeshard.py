@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TARGET_ROWS = 2_000_000
 MAX_HOT = 4096
@@ -73,7 +74,7 @@ def plan_shards(df: DataFrame, keys: list[str], time: str, target_rows: int | No
         key = tuple(r[k] for k in keys)
         own = max(1, round(len(grid) / (min(len(grid), -(-next(h["count"] for h in hot if tuple(h[k] for k in keys) == key) // target) - 1) or 1)))
         bounds[key] = sorted(set(r["q"][own - 1 :: own]))
-    table = lambda b: spark.createDataFrame([(*k, v) for k, v in b.items()], names.schema.add("_bounds", "array<bigint>"))
+    table = lambda b: spark.createDataFrame([(*k, v) for k, v in b.items()], T.StructType([*names.schema.fields, T.StructField("_bounds", T.ArrayType(T.LongType()))]))
     plan = ShardPlan(keys, time, table(bounds))
     if least_rows > 1:  # join shards that are too small to hold a halo
         sizes = {(tuple(r[k] for k in keys), r[SHARD]): r["n"] for r in plan.assign(mine).groupBy(*keys, SHARD).agg((F.count("*") if size is None else size).alias("n")).collect()}
@@ -88,6 +89,6 @@ def plan_shards(df: DataFrame, keys: list[str], time: str, target_rows: int | No
                 kept.pop()
             bounds[key] = kept
         plan.bounds = table(bounds)
-    plan.shards = spark.createDataFrame([(*k, i) for k, v in bounds.items() for i in range(len(v) + 1)], df.select(*keys).schema.add(SHARD, "int"))
+    plan.shards = spark.createDataFrame([(*k, i) for k, v in bounds.items() for i in range(len(v) + 1)], T.StructType([*names.schema.fields, T.StructField(SHARD, T.IntegerType())]))
     plan.hot = len(hot)
     return plan
