@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import as_known_at
 from tidemark.operators.clocks import to_instants
+from tidemark.operators.deliveries import repeated_deliveries
 from tidemark.operators.history import FOREVER, bitemporal_ledger, current_history
 from tidemark.operators.intervals import continuous_periods
 from tidemark.operators.spikes import flag_readings
@@ -55,6 +56,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_readings(load(spark, sf_dir, "quotes"), "security_id", "observed_at", "source_id", "price_usd").select(F.col("reading_id").alias("source_id"), "kind")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_deliveries(load(spark, sf_dir, "quote_events"), "delivery_id", "received_at", "event_id", "payload").select("delivery_id", "kind")
+
+
 SQL = {
     "p1_found": """
         with g as (select security_id, epoch_us(valid_from) a, epoch_us(valid_through) b from borrow_grants
@@ -104,6 +109,13 @@ SQL = {
         select id source_id, 'impossible' kind from n where x <= 0
         union all select id, 'stuck' from c where len >= 10 and p = x
         union all select id, 'spike' from f""",
+    "p7_found": """
+        with d as (select delivery_id, received_at, payload,
+                     coalesce(nullif(lower(trim(event_id, chr(32) || chr(9) || chr(10) || chr(13))), ''), lower(trim(payload ->> '$.event_id'))) k,
+                     [payload ->> ('$.quote.' || f) for f in ['adjustment', 'available_at', 'currency', 'observed_at', 'phase', 'price_usd', 'security_id', 'source_id']]
+                     || [payload ->> ('$.' || f) for f in ['event_id', 'schema_version', 'source_sha256']] body from quote_events),
+        n as (select *, row_number() over w rn, first_value(body) over w kept from d where k is not null window w as (partition by k order by received_at nulls last, delivery_id))
+        select delivery_id, case when body = kept then 'same' else 'differs' end kind from n where rn > 1""",
 }
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_ledger": p3_ledger, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_ledger": p3_ledger, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
