@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.encoding import encode
+from tidemark.llm.packing import pack_items
 from tidemark.llm.splitting import LIMIT, split_texts
 from tidemark.tables import load
 
@@ -23,10 +24,15 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(load(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = encode(load(spark, sf_dir, "documents"), "doc_id", "text", lengths_only=True)
+    return pack_items(sizes, "doc_id", "n_tokens").withColumnRenamed("item_id", "doc_id")
+
+
 SQL = {
     "p4_found": """
         select distinct paper_id, case when list_max(list_transform(regexp_split_to_array(text, '[ \\t\\n\\r。！？]'), lambda x: length(x))) > 1500 then 'hard' else 'soft' end kind
         from corpus where length(text) > 1500""",
 }
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p8_ids": p8_ids}
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers}
