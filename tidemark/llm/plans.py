@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.encoding import encode
+from tidemark.llm.mojibake import recover
 from tidemark.llm.packing import pack_items
 from tidemark.llm.splitting import LIMIT, split_texts
 from tidemark.tables import load
@@ -29,10 +30,16 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_items(sizes, "doc_id", "n_tokens").withColumnRenamed("item_id", "doc_id")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recover(load(spark, sf_dir, "documents"), "doc_id", "text")
+    md5 = F.md5(F.encode("restored", "utf-8"))
+    return found.select("doc_id", F.when(F.col("lost"), "").otherwise(md5).alias("restored_md5")).distinct()
+
+
 SQL = {
     "p4_found": """
         select distinct paper_id, case when list_max(list_transform(regexp_split_to_array(text, '[ \\t\\n\\r。！？]'), lambda x: length(x))) > 1500 then 'hard' else 'soft' end kind
         from corpus where length(text) > 1500""",
 }
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
