@@ -280,7 +280,7 @@ SQL = {
     "calendar_gaps": f"""with {_SESS}, b as (select calendar_id, date_trunc('month', min(session_date)) a, date_trunc('month', max(session_date)) z from s group by 1),
         spine as (select calendar_id, cast(unnest(generate_series(a, z, interval 1 month)) as date) "month" from b)
         select * from spine where (calendar_id, month) not in (select (calendar_id, cast(date_trunc('month', session_date) as date)) from s)""",
-    "session_day_gaps": f"with {_SESS}, l as (select calendar_id, lag(session_date) over (partition by calendar_id order by session_date) previous_date, session_date from s) select *, cast(session_date - previous_date as int) "days" from l where session_date - previous_date > 4",
+    "session_day_gaps": f"with {_SESS}, l as (select calendar_id, lag(session_date) over (partition by calendar_id order by session_date) previous_date, session_date from s) select *, cast(session_date - previous_date as int) as days from l where session_date - previous_date > 4",
     "active_vintages": f"with {_PLAN} select calendar_id, cast(unnest(generate_series(date_trunc('month', formation_date) + interval 1 month, date_trunc('month', formation_date) + interval 3 month, interval 1 month)) as date) \"month\", formation_date from plan",
     "compound_return": f"""with {MONTHLY_SQL}, m as (select symbol, month, close / lag(close) over (partition by symbol order by month) - 1 r from monthly),
         l as (select *, row_number() over (partition by symbol order by month desc) k from m where r is not null)
