@@ -130,7 +130,7 @@ def purged_embargo_folds(spark: SparkSession, d: str) -> DataFrame:
 def fold_test_means(spark: SparkSession, d: str) -> DataFrame:
     labels = _labels(spark, d)
     test = stats.walk_forward(labels, 200, 60).filter("role = 'test'").join(labels.select("series", "idx", "price"), ["series", "idx"])
-    return rounded(test.groupBy("series", "fold").agg(F.count("*").alias("n"), F.avg("price").alias("mean_price")), "mean_price", places=4)
+    return rounded(test.groupBy("series", "fold").agg(F.count("*").alias("n"), F.avg("price").alias("mean_price")), "mean_price", places=2)
 
 
 def pass_rate_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -324,7 +324,7 @@ SQL = {
     "walk_forward_folds": _FOLDS + " select series, cast(fold as int) fold, \"role\", count(*) n, min(idx) first_idx, max(idx) last_idx from folds group by 1, 2, 3",
     "purged_embargo_folds": f"""with {_LABELS}, b as (select series, min(st) a, max(en) z from lab where idx between 120 and 180 group by 1)
         select series, idx, case when idx between 120 and 180 then 'test' when st <= z and en >= a then 'purged' when st > z and st <= z + 7 then 'embargoed' else 'train' end "role" from lab join b using (series)""",
-    "fold_test_means": _FOLDS + " select series, cast(fold as int) fold, count(*) n, round(avg(price), 4) mean_price from folds where \"role\" = 'test' group by 1, 2",
+    "fold_test_means": _FOLDS + " select series, cast(fold as int) fold, count(*) n, round(avg(price), 2) mean_price from folds where \"role\" = 'test' group by 1, 2",
     "pass_rate_gate": """with b as (select o_orderkey k, o_totalprice < 400000 b, o_totalprice < 370000 a from orders) select count(*) cases, count(*) filter (b) passed_before, count(*) filter (a) passed_after, (count(*) filter (b) - count(*) filter (a)) * 20 >= count(*) filter (b) regressed from b""",
     "bm25_index_stats": f"with {_ASCII}, tf as (select doc_id, term, count(*) tf from (select doc_id, unnest(ts) term from tok) group by all), n as (select count(*) n from tok) select term, count(*) df, cast(sum(tf) as bigint) cf, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) idf from tf, n group by 1",
     "bm25_topk": _HITS + " select query_id, \"rank\", doc_id, round(score, 5) score from hits",
