@@ -19,14 +19,13 @@ from pyspark.sql import functions as F
 from tidemark.tables import micros, need
 from tidemark.timeshard import SHARD, ShardPlan, plan_shards
 
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"^[\t\n\r ]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[\t\n\r ]*$"
 HALO = 12
 
 
 def parse_number(column: str):
-    """A number written in ASCII digits, white space around it allowed, as a double; anything else is null."""
-    bare = F.regexp_replace(F.col(column).cast("string"), r"^\s+|\s+$", "")
-    return F.when(bare.rlike(NUMBER), F.expr(f"try_cast(regexp_replace(cast(`{column}` as string), '^\\\\s+|\\\\s+$', '') as double)"))
+    """A number written in ASCII digits, white space around it allowed, as a double; anything else is null. A column of numbers is read as text first."""
+    return F.when(F.col(column).rlike(NUMBER), F.col(column).try_cast("double"))  # the cast drops the white space
 
 
 def flag_readings(df: DataFrame, source: str, at: str, reading_id: str, value: str, factor: float = 14.0, stuck_run: int = 10, target_rows: int | None = None) -> DataFrame:
@@ -44,7 +43,7 @@ def flag_readings(df: DataFrame, source: str, at: str, reading_id: str, value: s
     need(df, source, at, reading_id, value)
     if not 2 <= stuck_run <= HALO:
         raise ValueError(f"stuck_run must lie in 2..{HALO}")
-    rows = df.select(F.col(f"`{source}`").alias("key"), micros(df, at).alias("t"), F.col(f"`{reading_id}`").alias("id"), F.col(f"`{value}`").alias("value"))
+    rows = df.select(F.col(f"`{source}`").alias("key"), micros(df, at).alias("t"), F.col(f"`{reading_id}`").alias("id"), F.col(f"`{value}`").cast("string").alias("value"))
     rows = rows.withColumn("x", parse_number("value")).drop("value").filter("key is not null and t is not null and x is not null and abs(x) < double('Infinity')")
     good = rows.filter("x > 0")
     distinct_readings = F.count_distinct(F.struct("t", "id"))

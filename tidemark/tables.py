@@ -14,6 +14,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def micros(df: DataFrame, name: str) -> Column:
     """Microseconds since 1970-01-01T00:00Z of a timestamp column; one without zone means UTC."""
     if isinstance(df.schema[name].dataType, T.TimestampNTZType):
+        if df.sparkSession.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z"):  # the cheaper way
+            return F.unix_micros(F.col(f"`{name}`").cast("timestamp"))
         return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{name}`)")
     return F.unix_micros(F.col(f"`{name}`").cast("timestamp"))
 
