@@ -30,15 +30,18 @@ def merge_disjoint(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np
 
 
 def fold_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Folds each batch (key, from_us, through_us) into one disjoint list per key."""
+    """Folds each batch (key, shard, from_us, through_us) into one disjoint list per key and shard. Lists never reach over
+    a shard's edge, so that what a shard is given as carry-in does not depend on how rows fell into batches."""
     for pdf in batches:
-        codes, keys = pd.factorize(pdf["key"])
+        if not len(pdf):
+            continue
+        codes = pdf.groupby(["key", SHARD], sort=False).ngroup().to_numpy()
         order = np.lexsort((pdf["from_us"].to_numpy(), codes))
         codes, starts, ends = codes[order], pdf["from_us"].to_numpy()[order], pdf["through_us"].to_numpy()[order]
         cuts = np.flatnonzero(np.diff(codes)) + 1
         parts = [merge_disjoint(*p) for p in zip(np.split(starts, cuts), np.split(ends, cuts), strict=True)]
-        out_keys = np.repeat(keys.take(codes[np.concatenate(([0], cuts))]) if len(codes) else keys, [len(a) for a, _ in parts] if len(codes) else [])
-        yield pd.DataFrame({"key": out_keys, "from_us": np.concatenate([a for a, _ in parts]), "through_us": np.concatenate([b for _, b in parts])})
+        of = np.repeat(order[np.concatenate(([0], cuts))], [len(a) for a, _ in parts])
+        yield pd.DataFrame({"key": pdf["key"].to_numpy()[of], "from_us": np.concatenate([a for a, _ in parts]), "through_us": np.concatenate([b for _, b in parts]), SHARD: pdf[SHARD].to_numpy()[of]})
 
 
 def continuous_periods(df: DataFrame, key: str, start: str, end: str, target_rows: int | None = None) -> DataFrame:
@@ -53,12 +56,13 @@ def continuous_periods(df: DataFrame, key: str, start: str, end: str, target_row
     rows = df.select(F.col(f"`{key}`").alias("key"), micros(df, start).alias("from_us"), micros(df, end).alias("through_us"))
     rows = rows.filter("key is not null and from_us < through_us")
     plan = plan_shards(rows, ["key"], "from_us", target_rows)
-    lists = plan.assign(rows.mapInPandas(fold_lists, rows.schema))
+    placed = plan.assign(rows).select("key", "from_us", "through_us", SHARD)
+    lists = placed.mapInPandas(fold_lists, placed.schema)
     scan = Window.partitionBy("key", SHARD).orderBy("from_us", "through_us")
     before = scan.rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max("through_us").over(before)
     if plan.hot:
-        ends = plan.only_hot(plan.assign(rows)).groupBy("key", SHARD).agg(F.max("through_us").alias("end"))
+        ends = plan.only_hot(placed).groupBy("key", SHARD).agg(F.max("through_us").alias("end"))
         lists = lists.join(F.broadcast(plan.carry_in(ends, F.max("end"))), ["key", SHARD], "left")
         reach = F.greatest(reach, "_carry0")
     begins = lists.withColumn("begins", F.when(reach >= F.col("from_us"), 0).otherwise(1))
