@@ -81,7 +81,7 @@ def nonnegative_least_squares(classes: np.ndarray, repeats: np.ndarray, wanted:
     columns = np.zeros((len(wanted), 0))
     weights = np.zeros(0)
     scale = np.maximum(np.sqrt((repeats.astype(np.float64) ** 2).sum(axis=1)), 1e-9)
-    for _ in range(rounds):
+    for _ in range(rounds if len(classes) else 0):
         rest = wanted - columns @ weights
         gain = (rest[classes] * repeats).sum(axis=1) / scale
         gain[active] = -np.inf
