@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.session import shared_path
 from tidemark.tables import micros, need
 
-KEYS_OF_SHARD = 250_000
+ROWS_OF_SHARD, LEAST_SHARDS = 100_000, 12
 HOT_ROWS = 1_000_000
 MAX_HOT = 4096
 
@@ -146,7 +146,7 @@ def repeated_deliveries(df: DataFrame, delivery_id: str, received: str, event_id
     keyed = message_keys(df, delivery_id, received, event_id, payload)
     total = df.count()
     if ledger is None:
-        ledger = SeenLedger(spark, shared_path(spark, "seen"), max(4, total // KEYS_OF_SHARD))
+        ledger = SeenLedger(spark, shared_path(spark, "seen"), max(LEAST_SHARDS, total // ROWS_OF_SHARD))
     before = bool(ledger.versions())
     ledger.admit(keyed)
     kept = ledger.admitted()
