@@ -89,6 +89,17 @@ SQL = {
         run as (select *, sum(fresh) over (partition by security_id order by a rows unbounded preceding) n from mark)
         select security_id, any_value(symbol) symbol, any_value(exchange) exchange, min(a) from_us,
                case when max(till) = 9223372036854775807 then -1 else max(till) end to_us from run group by security_id, n""",
+    "p3_ledger": """
+        with r as (select distinct security_id k, upper(trim(symbol, chr(32) || chr(9) || chr(10) || chr(13))) symbol, exchange, source_id s, epoch_us(effective_from) a,
+                          coalesce(epoch_us(effective_to), 9223372036854775807) b, epoch_us(available_at) r from security_history),
+        v as (select *, k is null or symbol is null or a is null or b <= a void from r),
+        w as (select *, lead(a) over o na, lead(r) over o nr from v where not coalesce(void, false)
+              window o as (partition by k order by a, r nulls first, s nulls first, symbol nulls first, exchange nulls first, b)),
+        l as (select k, symbol, exchange, s, a, b, r, nr till, 'superseded' status from w where na = a
+              union all select k, symbol, exchange, s, a, least(b, coalesce(na, b)), r, null, 'current' from w where na is null or na > a
+              union all select k, symbol, exchange, s, na, b, r, case when r is null or nr > r then nr else r end, case when r is null or nr > r then 'split' else 'preempted' end from w where na > a and na < b
+              union all select k, symbol, exchange, s, a, nullif(b, 9223372036854775807), r, null, 'void' from v where void)
+        select k security_id, symbol, exchange, s source, a valid_from, b valid_to, r recorded_from, till recorded_to, status from l""",
     "p6_found": """
         with q as (select distinct security_id s, observed_at t, source_id id, try_cast(trim(price_usd, chr(32) || chr(9) || chr(10) || chr(13)) as double) x from quotes),
         n as (select * from q where s is not null and t is not null and x is not null and isfinite(x)),

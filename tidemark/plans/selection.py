@@ -11,13 +11,27 @@ from tidemark.plans.views import MONTHLY_SQL, monthly
 from tidemark.tables import load, micros
 
 AT = "2021-06-30 12:00:00"
-CUTOFF = "2021-05-31"
-CONCEPTS = ["Assets", "market_cap"]
-MONTHS = 2
+LINES_AT = "1999-06-30 12:00:00"
+CUTOFF = "1999-05-31"
+CONCEPTS = ["A", "R"]
+MONTHS = 6
 
 
-def _at():
-    return F.lit(AT).cast("timestamp_ntz")
+def _at(text: str = AT):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def _line_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as facts of their supplier: an instant value of the order's day, known when shipped."""
+    li, o = load(spark, d, "lineitem"), load(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("security_id"), F.col("l_returnflag").alias("concept"), F.lit(None).cast("date").alias("period_start"), F.to_date("o_orderdate").alias("period_end"),
+        F.col("l_extendedprice").cast("decimal(15,2)").cast("string").alias("value"), F.lit("USD").alias("unit"), F.col("l_shipdate").alias("available_at"), F.concat(F.lit("L"), F.col("l_partkey").cast("string")).alias("source_id"), F.col("l_linenumber").alias("revision"),
+    )
+
+
+def _line_selected(spark: SparkSession, d: str) -> DataFrame:
+    return pit.select_facts(_line_facts(spark, d), _at(LINES_AT))
 
 
 def _cutoff():
@@ -33,7 +47,7 @@ def pit_select_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pit_fact_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return pit.fact_conflicts(load(spark, d, "facts"), _at())
+    return pit.fact_conflicts(_line_facts(spark, d).withColumn("period_end", F.trunc("period_end", "year")), _at(LINES_AT))
 
 
 def _membership(spark: SparkSession, d: str) -> DataFrame:
@@ -52,12 +66,12 @@ def pit_membership_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pit_month_ambiguity(spark: SparkSession, d: str) -> DataFrame:
-    return pit.monthly_cells(_selected(spark, d), _cutoff()).filter("n > 1").select("security_id", "concept", "unit", "month", "n")
+    return pit.monthly_cells(_line_selected(spark, d), _cutoff()).filter("n > 1").select("security_id", "concept", "unit", "month", "n")
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
-    facts = load(spark, d, "facts")
-    cells = pit.monthly_cells(pit.select_facts(facts, _at()), _cutoff()).groupBy("security_id", "concept", "month").agg(F.max("value").alias("value"))
+    facts = _line_facts(spark, d)
+    cells = pit.monthly_cells(_line_selected(spark, d), _cutoff()).groupBy("security_id", "concept", "month").agg(F.max("value").alias("value"))
     return pit.cell_values(pit.requested_cells(facts.filter("security_id is not null"), CONCEPTS, _cutoff(), MONTHS), cells)
 
 
@@ -76,7 +90,7 @@ def pit_facts_in_universe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pit_invalid_facts(spark: SparkSession, d: str) -> DataFrame:
-    return pit.invalid_facts(load(spark, d, "facts"))
+    return pit.invalid_facts(_line_facts(spark, d))
 
 
 def exact_quote_marks(spark: SparkSession, d: str) -> DataFrame:
@@ -237,11 +251,14 @@ def claim_collateral(spark: SparkSession, d: str) -> DataFrame:
 
 _SELECTED = f"""selected as (select * from facts where available_at <= timestamp '{AT}'
     qualify row_number() over (partition by security_id, concept, period_start, period_end, unit order by available_at desc, revision desc nulls last, source_id, value nulls first) = 1)"""
+_LINES = """lines as (select 'S' || l_suppkey security_id, l_returnflag concept, cast(null as date) period_start, cast(o_orderdate as date) period_end, cast(cast(l_extendedprice as decimal(15, 2)) as varchar) "value", 'USD' unit,
+    l_shipdate available_at, 'L' || l_partkey source_id, l_linenumber revision from lineitem join orders on l_orderkey = o_orderkey)"""
+_LINE_SELECTED = f"{_LINES}, " + _SELECTED.replace("from facts", "from lines").replace(AT, LINES_AT)
 _CELLS = f"cells as (select security_id, concept, unit, cast(date_trunc('month', period_end) as date) \"month\", count(*) n, max(value) v from selected where period_start is null and period_end <= date '{CUTOFF}' group by all)"
-_VALUES = f"""with {_SELECTED}, {_CELLS}, one as (select security_id, concept, month, arg_max(value, (period_end, source_id)) v from
+_VALUES = f"""with {_LINE_SELECTED}, {_CELLS}, one as (select security_id, concept, month, arg_max(value, (period_end, source_id)) v from
       (select *, cast(date_trunc('month', period_end) as date) "month" from selected where period_start is null and period_end <= date '{CUTOFF}') group by security_id, concept, unit, month),
     best as (select security_id, concept, month, max(v) v from one group by all),
-    asked as (select distinct security_id, c.concept, cast(m.m as date) "month" from facts, (select unnest({CONCEPTS}) concept) c, (select unnest(generate_series(date_trunc('month', date '{CUTOFF}') - interval {MONTHS - 1} month, date_trunc('month', date '{CUTOFF}'), interval 1 month)) m) m where security_id is not null),
+    asked as (select distinct security_id, c.concept, cast(m.m as date) "month" from lines, (select unnest({CONCEPTS}) concept) c, (select unnest(generate_series(date_trunc('month', date '{CUTOFF}') - interval {MONTHS - 1} month, date_trunc('month', date '{CUTOFF}'), interval 1 month)) m) m where security_id is not null),
     filled as (select asked.*, v from asked left join best using (security_id, concept, month))"""
 _MEMBERS = "members as (select user_id security_id, event_id, event_type <> 'error' included, ts effective_at, ts + interval 1 hour available_at from events)"
 _SESS = "s as (select distinct calendar_id, session_date from sessions where calendar_id is not null and session_date is not null)"
@@ -256,18 +273,18 @@ _BOOK = _SLEEVES + """, book as (select formation batch, security_id, weight w,
 
 SQL = {
     "pit_select_facts": f"with {_SELECTED} select security_id, concept, period_start, period_end, unit, available_at, revision, source_id, value from selected",
-    "pit_fact_conflicts": f"""with k as (select * from facts where available_at <= timestamp '{AT}')
+    "pit_fact_conflicts": f"""with {_LINES}, k as (select * replace (cast(date_trunc('year', period_end) as date) as period_end) from lines where available_at <= timestamp '{LINES_AT}')
         select 'content' kind, security_id, concept, period_start, period_end, unit, revision, count(distinct (value, available_at)) n from k group by security_id, concept, period_start, period_end, unit, source_id, revision having n > 1
         union all select 'value', security_id, concept, period_start, period_end, unit, revision, count(distinct try_cast(value as double)) n from k group by security_id, concept, period_start, period_end, unit, available_at, revision having n > 1""",
     "pit_universe": f"""with {_MEMBERS} select security_id, event_id from (select * from members where available_at <= timestamp '2024-01-20' and effective_at <= timestamp '2024-01-20'
         qualify row_number() over (partition by security_id order by effective_at desc, available_at desc, event_id desc) = 1) where included""",
     "pit_membership_conflicts": f"""with {_MEMBERS} select security_id, cast(effective_at as date) effective_at, cast(available_at as date) available_at, count(distinct included) n, count(*) events from members group by 1, 2, 3 having n > 1""",
-    "pit_month_ambiguity": f"with {_SELECTED}, {_CELLS} select security_id, concept, unit, month, n from cells where n > 1",
+    "pit_month_ambiguity": f"with {_LINE_SELECTED}, {_CELLS} select security_id, concept, unit, month, n from cells where n > 1",
     "pit_missing_cells": _VALUES + " select security_id, concept, month from filled where v is null",
     "pit_complete_history": _VALUES + f" select security_id, concept, arg_max(v, month) latest, string_agg(v, '|' order by month) series from filled group by security_id, concept having count(v) = {MONTHS}",
     "pit_facts_in_universe": f"with {_SELECTED} select security_id, concept, period_end, source_id from selected where security_id in (select security_id from formations)",
-    "pit_invalid_facts": """select distinct security_id, concept, source_id, period_end, reason from (select *, 'ends_after_known' reason from facts where period_end > cast(available_at as date)
-        union all select *, 'begins_after_end' from facts where period_start > period_end)""",
+    "pit_invalid_facts": f"""with {_LINES} select distinct security_id, concept, source_id, period_end, reason from (select *, 'ends_after_known' reason from lines where period_end > cast(available_at as date)
+        union all select *, 'begins_after_end' from lines where period_start > period_end)""",
     "exact_quote_marks": """with known as (select security_id, observed_at, min(source_id) s from quotes where available_at <= observed_at group by all), r as (select distinct source_id request_id, security_id, observed_at "at" from quotes where phase = 'close')
         select distinct r.request_id, r.security_id, r.at, s source_id, price_usd from r left join known on r.security_id = known.security_id and r.at = known.observed_at left join (select distinct source_id sid, price_usd from quotes) p on s = sid""",
     "borrow_interval_join": """with g as (select source_id, security_id, available_at, valid_from, valid_through, max(maximum_short_shares) sh from borrow_grants where security_id is not null and valid_from is not null and valid_through is not null and available_at is not null and source_id is not null group by all),
