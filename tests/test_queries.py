@@ -5,11 +5,11 @@ import os
 import pytest
 from comparing import assert_same, tables
 
-from tidemark.plans import general, records, selection, study
+from tidemark.plans import checklists, general, records, selection, study
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = {n: q for m in (general, study, selection, records) for n, q in m.QUERIES.items()}
-SQL = {n: s for m in (general, study, selection, records) for n, s in m.SQL.items()}
+QUERIES = {n: q for m in (general, study, selection, records, checklists) for n, q in m.QUERIES.items()}
+SQL = {n: s for m in (general, study, selection, records, checklists) for n, s in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
 
@@ -26,7 +26,7 @@ def test_query(spark, con, name):
         assert QUERIES[name](spark, SF_DIR).count() >= 0
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p6_found", "borrow_interval_join", "ledger_running_cash"])
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p6_found", "borrow_interval_join", "ledger_running_cash", "event_timeline", "budget_running_commit"])
 @pytest.mark.parametrize("rows", [3, 25])
 def test_query_with_every_key_cut_into_shards(spark, con, name, rows, monkeypatch):
     monkeypatch.setattr("tidemark.timeshard.TARGET_ROWS", rows)
@@ -34,4 +34,4 @@ def test_query_with_every_key_cut_into_shards(spark, con, name, rows, monkeypatc
 
 
 def test_modules_name_no_query_twice():
-    assert len(QUERIES) == sum(len(m.QUERIES) for m in (general, study, selection, records))
+    assert len(QUERIES) == sum(len(m.QUERIES) for m in (general, study, selection, records, checklists))

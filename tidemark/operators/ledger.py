@@ -17,28 +17,31 @@ def conflicts_of(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame
     return df.groupBy(*keys).agg(F.count_distinct(F.struct(*values)).alias("n_versions"), F.count("*").alias("n_rows")).filter("n_versions > 1")
 
 
-def event_timeline(effective: DataFrame, payments: DataFrame, fills: DataFrame) -> DataFrame:
-    """One line of (account, at, phase, event_id, amount) in which what takes effect comes before payments, and payments
-    before fills, of the same instant; seq numbers each account's events in that order."""
+def event_timeline(effective: DataFrame, payments: DataFrame, fills: DataFrame, target_rows: int | None = None) -> DataFrame:
+    """One line of (account, at date, phase, event_id, amount) in which what takes effect comes before payments, and
+    payments before fills, of the same day; seq numbers each account's events in that order."""
     phases = [x.withColumn("phase", F.lit(i)) for i, x in enumerate((effective, payments, fills))]
-    line = phases[0].unionByName(phases[1]).unionByName(phases[2])
-    return line.withColumn("seq", F.row_number().over(Window.partitionBy("account").orderBy("at", "phase", "event_id", "amount")))
+    line = phases[0].unionByName(phases[1]).unionByName(phases[2]).withColumn("one", F.lit(1))
+    return running_totals(line, "account", F.unix_date("at"), ["phase", "event_id", "amount"], {"seq": "one"}, target_rows=target_rows).drop("one")
 
 
-def running_totals(events: DataFrame, key: str, time: Column, order: list[str], sums: dict[str, str], target_rows: int | None = None) -> DataFrame:
-    """events with a running total for each of sums (new column -> added column), per key in order of time, then order.
-    Rows with a null key or time are left out."""
-    rows = events.withColumn("_key", F.col(key)).withColumn("_t", time).filter("_key is not null and _t is not null")
+def running_totals(events: DataFrame, key: str, time: Column, order: list[str], sums: dict[str, str], highs: dict[str, str] | None = None, target_rows: int | None = None) -> DataFrame:
+    """events with a running total for each of sums (new column -> added column), and the highest earlier value for each of
+    highs, per key in order of time, then order. Rows with a null key or time are left out."""
+    highs = highs or {}
+    rows = events.withColumn("_key", F.col(key)).withColumn("_t", time.cast("bigint")).filter("_key is not null and _t is not null")
     plan = plan_shards(rows.select("_key", "_t"), ["_key"], "_t", target_rows)
     placed = plan.assign(rows)
-    w = Window.partitionBy("_key", SHARD).orderBy("_t", *order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = {new: F.sum(old).over(w) for new, old in sums.items()}
+    w = Window.partitionBy("_key", SHARD).orderBy("_t", *order)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = {new: F.sum(old).over(upto) for new, old in sums.items()} | {new: F.max(old).over(before) for new, old in highs.items()}
     if plan.hot:
-        parts = plan.only_hot(placed).groupBy("_key", SHARD).agg(*[F.sum(old).alias(f"_s{i}") for i, old in enumerate(sums.values())])
-        placed = placed.join(F.broadcast(plan.carry_in(parts, *[F.sum(f"_s{i}") for i in range(len(sums))])), ["_key", SHARD], "left")
-        totals = {new: t + F.coalesce(F.col(f"_carry{i}"), F.lit(0)) for i, (new, t) in enumerate(totals.items())}
-    drop = ["_key", "_t", SHARD, *[f"_carry{i}" for i in range(len(sums))]]
-    return placed.withColumns(totals).drop(*drop)
+        aggregates = [*[F.sum(old) for old in sums.values()], *[F.max(old) for old in highs.values()]]
+        parts = plan.only_hot(placed).groupBy("_key", SHARD).agg(*[a.alias(f"_s{i}") for i, a in enumerate(aggregates)])
+        again = [F.sum(f"_s{i}") if i < len(sums) else F.max(f"_s{i}") for i in range(len(aggregates))]
+        placed = placed.join(F.broadcast(plan.carry_in(parts, *again)), ["_key", SHARD], "left")
+        totals = {new: t + F.coalesce(F.col(f"_carry{i}"), F.lit(0)) if new in sums else F.greatest(t, F.col(f"_carry{i}")) for i, (new, t) in enumerate(totals.items())}
+    return placed.withColumns(totals).drop("_key", "_t", SHARD, *[f"_carry{i}" for i in range(len(totals))])
 
 
 def fill_cash(shares: Column, price: Column, fee_bps: float) -> Column:

@@ -6,9 +6,10 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ledger import running_totals
 from tidemark.session import checkpoint
 
 EDGE_FIELDS = {"sha256", "size_bytes", "media_type"}
@@ -83,11 +84,9 @@ def idempotent_insert(table: DataFrame, new: DataFrame, key: str, body: str) ->
     return one.join(old, key, "left").select(key, outcome.alias("outcome"))
 
 
-def budget_commitments(events: DataFrame, cap: float) -> DataFrame:
+def budget_commitments(events: DataFrame, cap: float, target_rows: int | None = None) -> DataFrame:
     """events (account, seq, at, reserved, actual) with the running commitment, an actual charge in place of its
     reservation where it is known, whether it is over the cap, and whether the clock went back."""
-    w = Window.partitionBy("account").orderBy("seq")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    charge = F.coalesce("actual", "reserved")
-    out = events.withColumn("committed", F.sum(charge).over(upto)).withColumn("latest", F.max("at").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return out.withColumn("over_cap", F.col("committed") > cap).withColumn("clock_back", F.coalesce(F.col("at") < F.col("latest"), F.lit(False))).drop("latest")
+    rows = events.withColumn("charge", F.coalesce("actual", "reserved"))
+    out = running_totals(rows, "account", F.col("seq"), ["at"], {"committed": "charge"}, {"latest": "at"}, target_rows)
+    return out.withColumn("over_cap", F.col("committed") > cap).withColumn("clock_back", F.coalesce(F.col("at") < F.col("latest"), F.lit(False))).drop("latest", "charge")

@@ -48,7 +48,7 @@ def event_timeline(spark: SparkSession, d: str) -> DataFrame:
     """Customers' first orders of a day take effect, orders are paid, large ones are filled."""
     o = load(spark, d, "orders").select(F.col("o_custkey").alias("account"), F.to_date("o_orderdate").alias("at"), F.col("o_orderkey").alias("event_id"), F.col("o_totalprice").alias("amount"), "o_orderstatus")
     parts = [o.filter(F.col("o_orderstatus") == s).drop("o_orderstatus") for s in ("F", "O", "P")]
-    return ledger.event_timeline(*parts)
+    return ledger.event_timeline(*parts).withColumn("seq", F.col("seq").cast("int"))
 
 
 def dividend_claims(spark: SparkSession, d: str) -> DataFrame:
@@ -259,7 +259,7 @@ def budget_running_commit(spark: SparkSession, d: str) -> DataFrame:
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     actual = F.when(F.col("o_orderstatus") == "F", F.floor(cents * 9 / 10).cast("bigint"))
     ev = o.select(F.col("o_custkey").alias("account"), F.col("o_orderkey").alias("seq"), F.to_date("o_orderdate").alias("at"), cents.alias("reserved"), actual.alias("actual"))
-    return lineage.budget_commitments(ev, 200_000_000)
+    return lineage.budget_commitments(ev, 200_000_000).withColumn("committed", F.col("committed").cast("bigint"))
 
 
 def outcome_rollup(spark: SparkSession, d: str) -> DataFrame:

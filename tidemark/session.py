@@ -30,9 +30,11 @@ def local_session(cpus: int | str = 8, app: str = "tidemark", **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset (tests, one machine) a folder of our own is set."""
+    """The folder in spark.checkpoint.dir. Where it is unset and all runs on one machine, a folder of our own is set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(path)
     elif spark.sparkContext.getCheckpointDir() is None:
