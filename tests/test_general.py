@@ -149,9 +149,10 @@ def test_readings(spark):
 def test_exact_median(spark):
     rng = random.Random(2)
     data = [(k, rng.choice([rng.random(), 0.25, 1e-7, 900.0])) for k in "abc" for _ in range(rng.choice([1, 40, 41]))]
-    got = dict(map(tuple, exact_median(spark.createDataFrame(data, "key string, v double"), "key", "v").collect()))
-    for k in "abc":
-        assert got[k] == pytest.approx(float(np.median([v for x, v in data if x == k])), rel=1e-12)
+    for large in (True, False):
+        got = dict(map(tuple, exact_median(spark.createDataFrame(data, "key string, v double"), "key", "v", large).collect()))
+        for k in "abc":
+            assert got[k] == pytest.approx(float(np.median([v for x, v in data if x == k])), rel=1e-12)
 
 
 def instant(text, zone="Europe/Berlin", order=1):

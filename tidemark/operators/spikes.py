@@ -66,7 +66,7 @@ def flag_readings(df: DataFrame, source: str, at: str, reading_id: str, value: s
         ((F.col("run_length") >= stuck_run) & F.col("prev").eqNullSafe(F.col("x"))).alias("stuck"),
         _separation().alias("apart"),
     )
-    scale = exact_median(flags.filter("move > 0"), "key", "move")
+    scale = exact_median(flags.filter("move > 0"), "key", "move", large=plan.hot > 0)
     if plan.hot:  # one copy of a hot source's scale for each of its shards, so that the join is cut as well
         spread = F.broadcast(plan.shards)
         scale = scale.join(spread, "key", "left").select("key", "median", F.coalesce(SHARD, F.lit(0)).alias(SHARD))
@@ -104,24 +104,31 @@ def _with_halo(plan: ShardPlan, rows: DataFrame, w) -> DataFrame:
     return rows.unionByName(copies)
 
 
-def exact_median(df: DataFrame, key: str, value: str) -> DataFrame:
+def exact_median(df: DataFrame, key: str, value: str, large: bool = True) -> DataFrame:
     """The exact median (key, median) of the positive doubles of each key, the mean of the middle two if even.
 
-    A bucket is a power of two and its 4096th part. Counts per bucket are combined before the shuffle, and a key has at
-    most some 100,000 buckets; of its values only those in the buckets of the two middle ranks are ranked, equal ones as
-    one row with a count.
+    If no key is large, the distinct values of a key are ranked in one window. Otherwise only those are that lie in the
+    buckets of the two middle ranks: a bucket is a power of two and its 4096th part; counts per bucket are combined before
+    the shuffle, and a key has at most some 100,000 buckets. Equal values are one row with a count.
     """
-    power = F.floor(F.log2(value))
-    bucket = (power * 4096 + F.least(F.lit(4095), F.greatest(F.lit(0), F.floor((F.col(value) / F.pow(F.lit(2.0), power) - 1) * 4096)))).cast("bigint")
-    counted = df.select(F.col(key).alias("key"), F.col(value).alias("v"), bucket.alias("bucket")).groupBy("key", "bucket", "v").agg(F.count("*").alias("n"))
+    holds = lambda rank: F.max(F.when((F.col("from") < F.col(rank)) & (F.col("to") >= F.col(rank)), F.col("v")))
+    lower, upper = F.floor((F.col("all") + 1) / 2), F.floor((F.col("all") + 2) / 2)
+    values = df.select(F.col(key).alias("key"), F.col(value).alias("v"))
+    if not large:
+        counted = values.groupBy("key", "v").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("key").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        inside = counted.withColumn("to", upto).withColumn("from", F.col("to") - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("key")))
+        inside = inside.withColumn("lower", lower).withColumn("upper", upper)
+        return inside.groupBy("key").agg(((holds("lower") + holds("upper")) / 2).alias("median"))
+    power = F.floor(F.log2("v"))
+    bucket = (power * 4096 + F.least(F.lit(4095), F.greatest(F.lit(0), F.floor((F.col("v") / F.pow(F.lit(2.0), power) - 1) * 4096)))).cast("bigint")
+    counted = values.withColumn("bucket", bucket).groupBy("key", "bucket", "v").agg(F.count("*").alias("n"))
     hist = counted.groupBy("key", "bucket").agg(F.sum("n").alias("n"))
     along = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     total = Window.partitionBy("key")
     ranked = hist.withColumn("upto", F.sum("n").over(along)).withColumn("all", F.sum("n").over(total))
-    lower, upper = F.floor((F.col("all") + 1) / 2), F.floor((F.col("all") + 2) / 2)
     middle = ranked.filter((F.col("upto") >= lower) & (F.col("upto") - F.col("n") < upper)).select("key", "bucket", (F.col("upto") - F.col("n")).alias("below"), lower.alias("lower"), upper.alias("upper"))
     inside = counted.join(middle, ["key", "bucket"])
     order = Window.partitionBy("key", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("to", F.col("below") + F.sum("n").over(order)).withColumn("from", F.col("to") - F.col("n"))
-    holds = lambda rank: F.max(F.when((F.col("from") < F.col(rank)) & (F.col("to") >= F.col(rank)), F.col("v")))
     return inside.groupBy("key").agg(((holds("lower") + holds("upper")) / 2).alias("median"))
