@@ -143,20 +143,15 @@ def _notes(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "corpus").filter("text is not null").groupBy(F.col("paper_id").alias("doc_id")).agg(F.min(F.concat_ws("\n", "title", "text")).alias("text"))
 
 
-def _ascii(spark: SparkSession, d: str) -> DataFrame:
-    """Corpus texts reduced to ASCII, so that both engines cut the same words."""
-    return _notes(spark, d).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", " "))
-
-
 def bm25_index_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(retrieval.term_stats(_ascii(spark, d)), "idf")
+    return rounded(retrieval.term_stats(_notes(spark, d)), "idf")
 
 
 QUESTIONS = [("q1", "momentum spread shrinks after costs"), ("q2", "restated revenue amendment"), ("q3", "short borrow fee basis points"), ("q4", "zzzunknownterm"), ("q5", "The closing quote arrived late")]
 
 
 def _hits(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return retrieval.search(_ascii(spark, d), spark.createDataFrame(QUESTIONS, "query_id string, query string"), k)
+    return retrieval.search(_notes(spark, d), spark.createDataFrame(QUESTIONS, "query_id string, query string"), k)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +161,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 def retrieval_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
     """A text is relevant to a question if it holds the question's second word."""
     asked = spark.createDataFrame([(q, t.split()[1].lower() if " " in t else t) for q, t in QUESTIONS], "query_id string, word string")
-    judged = _ascii(spark, d).select("doc_id", F.explode(F.array_distinct(retrieval.terms(F.col("text")))).alias("word")).join(asked, "word").select("query_id", "doc_id", F.lit(1).alias("relevant"))
+    judged = _notes(spark, d).select("doc_id", F.explode(F.array_distinct(retrieval.terms(F.col("text")))).alias("word")).join(asked, "word").select("query_id", "doc_id", F.lit(1).alias("relevant"))
     unanswerable = asked.select("query_id", F.lit("none").alias("doc_id"), F.lit(0).alias("relevant"))
     return rounded(retrieval.retrieval_metrics(_hits(spark, d, 10), judged.unionByName(unanswerable), 10), "recall", "mrr", "false_positive", "abstention")
 
