@@ -58,3 +58,20 @@ def test_search_weighs_words_of_every_script(spark, papers):
         got[r["query_id"]].append((r["doc_id"], r["score"]))
     for q, text in records.QUESTIONS:
         assert got[q] == [(p, pytest.approx(s, abs=1e-5)) for p, s in best(tfs, text)]
+
+
+def test_titles_of_every_hundredth_paper_are_searched(spark, papers):
+    tfs, got = indexed(), defaultdict(list)
+    for r in records.bm25_topk(spark, papers).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["doc_id"], r["score"]))
+    asked = records.QUESTIONS + [(p, title) for p, title, _ in PAPERS if p.endswith("00")]
+    want = {q: [(p, pytest.approx(s, abs=1e-5)) for p, s in best(tfs, text)] for q, text in asked}
+    assert got == {q: hits for q, hits in want.items() if hits} and {"paper-00-000000", "paper-00-000100"} <= got.keys()
+    second = {q: (words(text) * 2)[1] for q, text in asked}
+    relevant = {q: {p for p, tf in tfs.items() if w in tf} for q, w in second.items()}
+    hits = {q: [p for p, _ in best(tfs, text)] for q, text in asked}
+    answerable = [q for q in second if relevant[q]]
+    metrics = records.retrieval_recall_mrr(spark, papers).first()
+    assert metrics["n_answerable"] == len(answerable)
+    assert metrics["recall"] == pytest.approx(sum(len(relevant[q] & set(hits[q])) / len(relevant[q]) for q in answerable) / len(answerable), abs=1e-6)
+    assert metrics["mrr"] == pytest.approx(sum(next((1 / (i + 1) for i, p in enumerate(hits[q]) if p in relevant[q]), 0) for q in answerable) / len(answerable), abs=1e-6)
