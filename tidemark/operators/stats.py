@@ -30,9 +30,9 @@ def hac_mean(series: DataFrame, lags: int, correct: bool = False) -> DataFrame:
 def walk_forward(labels: DataFrame, initial: int, test: int) -> DataFrame:
     """(series, fold, idx, role) of labels (series, idx from 0, start, available): blocks of `test` after the first
     `initial`; of the earlier labels those available before the block starts train, the others are purged. A last part of
-    a block is kept; at most 100 folds."""
+    a block is kept; folds go on to the last label."""
     n = labels.groupBy("series").agg((F.max("idx") + 1).alias("n"))
-    folds = n.filter(F.col("n") > initial).select("series", F.explode(F.sequence(F.lit(0), F.least(F.lit(99), F.floor((F.col("n") - initial - 1) / test)).cast("int"))).alias("fold"))
+    folds = n.filter(F.col("n") > initial).select("series", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - initial - 1) / test).cast("int"))).alias("fold"))
     folds = folds.withColumn("first", (F.lit(initial) + F.col("fold") * test).cast("bigint"))
     starts = folds.join(labels.select("series", F.col("idx").cast("bigint").alias("first"), F.col("start").alias("test_start")), ["series", "first"])
     rows = labels.join(starts, "series").filter(F.col("idx") < F.col("first") + test)
