@@ -220,6 +220,7 @@ def graph_closure(spark: SparkSession, d: str) -> DataFrame:
     edges = c.select(node("n", "c_nationkey").alias("src"), node("c", "c_custkey").alias("dst"))
     edges = edges.unionByName(o.select(node("c", "o_custkey").alias("src"), node("o", "o_orderkey").alias("dst")))
     edges = edges.unionByName(li.select(node("o", "l_orderkey").alias("src"), node("p", "l_partkey").alias("dst")).distinct())
+    edges = edges.unionByName(li.select(node("p", "l_partkey").alias("src"), node("s", "l_suppkey").alias("dst")).distinct())
     return lineage.closure(edges, spark.createDataFrame([("n3",)], "node string"))
 
 
