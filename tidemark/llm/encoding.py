@@ -77,7 +77,8 @@ def build_lexicon(df: DataFrame, text: str, ranks_path: str = BYTE_BPE_50K, word
     lexicon = Transducer.compile({w: list(merge(w)) for w in (r["word"].encode("utf-8", "surrogatepass") for r in top)})
     spark = df.sparkSession
     path = shared_path(spark, "lexicon")
-    if path.startswith("file:") and local_file(path):
+    plain = path.startswith("/") and spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")  # else Spark means another file system
+    if (plain or path.startswith("file:")) and local_file(path):
         lexicon.save(local_file(path))
         return Lexicon(ranks_path, local_file(path), None)
     return Lexicon(ranks_path, None, spark.sparkContext.broadcast(pickle.dumps(lexicon)))
