@@ -20,8 +20,9 @@ def source_checklist(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quote_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each paper's text holds the first two words of its title, and its kind of content."""
-    papers = load(spark, d, "corpus").select("paper_id", "text", F.slice(F.split(F.lower(F.coalesce("title", F.lit("?"))), " "), 1, 2).alias("words")).withColumn("text", F.lower("text"))
+    """Whether each paper's text holds its whole title as a quote, and all of the title's words."""
+    title = F.lower(F.coalesce("title", F.lit("?")))
+    papers = load(spark, d, "corpus").select("paper_id", F.lower("text").alias("text"), F.concat(F.array(title), F.split(title, " ")).alias("words"))
     return grading.supported(papers, "text", "words").select("paper_id", "supported").distinct()
 
 
