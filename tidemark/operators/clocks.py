@@ -45,6 +45,10 @@ COUNT = re.compile(r"(?P<c>9{9,19})(?:\.(?P<cf>9+))?")
 #: Digits of a bare count since 1970 and its units per second.
 UNITS = {9: 1, 10: 1, 11: 1, 12: 1000, 13: 1000, 15: 10**6, 16: 10**6, 17: 10**6, 18: 10**9, 19: 10**9}
 
+#: Blanks in a row and digits of a fraction beyond those that can change a reading; no other field has as many digits.
+_SURPLUS = re.compile(r"(?<=  ) +|(?<=[.,][0-9]{20})[0-9]+")
+LONG = 128
+
 _MASK = {**{c: "9" for c in "0123456789"}, **{c: "a" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"}}
 _TABLE = str.maketrans(_MASK)
 
@@ -209,13 +213,14 @@ def _zoned(local: np.ndarray, words: np.ndarray, zones: np.ndarray, ok: np.ndarr
 def parse_instants(texts: pd.Series, zones: pd.Series, day_first: pd.Series) -> np.ndarray:
     """Microseconds of each text, NONE where it denotes no instant."""
     stripped = np.array([t.strip() if isinstance(t, str) else "" for t in texts], dtype=object)
+    stripped[:] = [_SURPLUS.sub("", t) if len(t) > LONG else t for t in stripped]
     zone_names, orders = zones.to_numpy(dtype=object), day_first.fillna(-1).to_numpy(dtype=np.int64)
     out = np.full(len(stripped), NONE)
-    codes, masks = pd.factorize(np.array([shape_mask(t) if len(t) <= 128 else "" for t in stripped], dtype=object))
+    codes, masks = pd.factorize(np.array([shape_mask(t) for t in stripped], dtype=object))
     order = np.argsort(codes, kind="stable")
     cuts = np.searchsorted(codes[order], np.arange(len(masks) + 1))
     for i, mask in enumerate(masks):
-        parse = parser(mask) if mask else None
+        parse = (parser if len(mask) <= LONG else parser.__wrapped__)(mask) if mask else None  # long masks are not kept
         if parse is None:
             continue
         rows = order[cuts[i] : cuts[i + 1]]
@@ -247,7 +252,7 @@ def to_instants(written: DataFrame, clocks: DataFrame) -> DataFrame:
     An instant is a real date with a time of day, or a bare count of seconds, milli-, micro- or nanoseconds since 1970. An
     offset, zone name or abbreviation in the text decides, else the clock's zone. Twice occurring local times mean the
     first, skipped ones are read with the offset before. instant_us is null for null, empty and blank texts, dates or
-    times alone, impossible dates and other texts (any of more than 128 characters), and for local times of a clock that
+    times alone, impossible dates and other texts, and for local times of a clock that
     is null or not in clocks. Rows are kept as they are, repeated ones too; columns of clocks never clash with them.
     """
     need(written, "clock", "text")
