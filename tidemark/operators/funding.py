@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from fractions import Fraction
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,25 +35,31 @@ def post_fee_roots(rows: DataFrame, equity: float, cost: float) -> DataFrame:
 
 
 def _exact_root(pdf: pd.DataFrame) -> pd.DataFrame:
+    """v + cost * sum |v w - o| - equity rises in v, so its root lies where it changes sign among the sorted break points.
+    At each of these the sum is had from running totals of w and o before and after it."""
     equity, cost = Fraction(pdf["equity"].iloc[0]), Fraction(pdf["cost"].iloc[0])
-    names = [(Fraction(w), Fraction(o)) for w, o in zip(pdf["weight"], pdf["old"], strict=True)]
+    book = sorted(((Fraction(o) / w, abs(w)) for w, o in zip(map(Fraction, pdf["weight"]), pdf["old"], strict=True) if w), key=lambda n: n[0])
+    fixed = sum((abs(Fraction(o)) for w, o in zip(pdf["weight"], pdf["old"], strict=True) if not Fraction(w)), Fraction(0))
+    turns = [n[0] for n in book]
+    slopes, levels = [Fraction(0), *accumulate(n[1] for n in book)], [Fraction(0), *accumulate(n[0] * n[1] for n in book)]
+
+    def line(k: int) -> tuple[Fraction, Fraction]:  # the sum as slope * v + level where k break points lie below v
+        return 2 * slopes[k] - slopes[-1], fixed + levels[-1] - 2 * levels[k]
+
+    def over(k: int) -> bool:
+        slope, level = line(k)
+        return turns[k] + cost * (slope * turns[k] + level) >= equity
+
     root = None
-    if cost * sum(abs(w) for w, _ in names) < 1 and cost * sum(abs(o) for _, o in names) < equity:
-        breaks = sorted({o / w for w, o in names if w and 0 < o / w < equity} | {Fraction(0), equity})
-        for a, b in zip(breaks, breaks[1:], strict=False):
-            mid = (a + b) / 2
-            signs = [(1 if mid * w >= o else -1) for w, o in names]
-            slope, level = sum(s * w for s, (w, _) in zip(signs, names, strict=True)), sum(s * o for s, (_, o) in zip(signs, names, strict=True))
-            v = (equity + cost * level) / (1 + cost * slope)
-            if a <= v <= b:
-                root = v
-                break
+    if cost * slopes[-1] < 1 and cost * (fixed + sum(abs(n[0]) * n[1] for n in book)) < equity:
+        slope, level = line(bisect_left(range(len(turns)), True, key=over))
+        root = (equity - cost * level) / (1 + cost * slope)
     return pd.DataFrame([(pdf["batch"].iloc[0], None if root is None else str(root.numerator), None if root is None else str(root.denominator))], columns=["batch", "num", "den"])
 
 
 def post_fee_roots_exact(rows: DataFrame) -> DataFrame:
     """The same in exact rationals, from decimal strings (batch, weight, old, equity, cost) to (batch, num, den). Whole
-    batches come to one Python task: for books of thousands of names, not for tables."""
+    batches come to one Python task, sorted once: for books of thousands of names, not for tables."""
     return rows.groupBy("batch").applyInPandas(_exact_root, "batch string, num string, den string")
 
 

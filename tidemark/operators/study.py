@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,44 +83,44 @@ def portfolio_gross(weights: DataFrame, forward: DataFrame) -> DataFrame:
     return weights.filter("weight <> 0").join(forward, ["symbol", "month"]).groupBy("signal", "month").agg(F.sum(F.col("weight") * F.col("forward")).alias("gross"))
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Months of one signal and cost in order: weights drift, so each month's fee depends on all before."""
-    rate = float(pdf["cost_bps"].iloc[0]) / 1e4
-    old: dict[str, float] = {}
-    months = sorted(pdf["month"].unique())
-    rows, status = [], "complete"
-    by_month = dict(tuple(pdf.groupby("month")))
-    for month in months:
-        now = by_month[month]
-        new = dict(zip(now["symbol"], now["weight"], strict=True))
-        moves = dict(zip(now["symbol"], now["forward"], strict=True))
-        turnover = sum(abs(new.get(s, 0.0) - old.get(s, 0.0)) for s in sorted(new.keys() | old.keys()))
-        fee = rate * turnover
-        if month == months[-1]:
-            fee += rate * sum(abs(w * (1 + moves[s])) for s, w in new.items())
-        net = sum(w * moves[s] for s, w in new.items()) - fee
-        if net <= -1:
-            status = "insolvent"
-        rows.append((pdf["signal"].iloc[0], int(pdf["cost_bps"].iloc[0]), month, turnover, fee, net, status))
-        if status != "complete":
-            break
-        old = {s: w * (1 + moves[s]) / (1 + net) for s, w in new.items()}
-    return pd.DataFrame(rows, columns=["signal", "cost_bps", "month", "turnover", "fee", "net", "status"])
-
-
 def portfolio_net(weights: DataFrame, forward: DataFrame, costs_bps: tuple[int, ...] = COSTS_BPS) -> DataFrame:
-    """(signal, cost_bps, month, turnover, fee, net, status): a recurrence, so folded in order within each signal and cost;
-    a group holds the study's months times the few names with a weight. A fall to nothing ends a case as insolvent."""
-    held = weights.filter("weight <> 0").join(forward, ["symbol", "month"])
-    cases = held.withColumn("cost_bps", F.explode(F.array(*map(F.lit, costs_bps))))
-    return cases.groupBy("signal", "cost_bps").applyInPandas(_fold, "signal string, cost_bps int, month string, turnover double, fee double, net double, status string")
+    """(signal, cost_bps, month, turnover, fee, net, status) of the weights held each month, all of them sold in the last.
+
+    What a month is entered with is last month's weight times its growth over one plus last month's net return, so the only
+    thing that goes from month to month is that return. The pairs (weight, grown weight of the month before) of each month are
+    made first; the recurrence is one ordered fold of numbers per signal and cost, in the JVM. A net
+    return of -1 or less ends a case as insolvent. A case holds one row of a few pairs for each month of the study."""
+    held = weights.filter("weight <> 0").join(forward, ["symbol", "month"]).withColumn("grown", F.col("weight") * (1 + F.col("forward")))
+    months = held.groupBy("signal", "month").agg((F.sum("grown") - F.sum("weight")).alias("gross"), F.sum(F.abs("grown")).alias("ending"), F.collect_list(F.struct("symbol", "weight", "grown")).alias("names"))
+    path = months.groupBy("signal").agg(F.array_sort(F.collect_list(F.struct("month", "gross", "ending", "names"))).alias("own"))
+    by_name = lambda m, field: F.map_from_entries(F.transform(m["names"], lambda n: F.struct(n["symbol"], n[field])))
+    nobody = F.expr("cast(map() as map<string, double>)")
+
+    def with_pairs(m: Column, i: Column) -> Column:
+        brought = F.when(i > 0, by_name(F.get(F.col("own"), i - 1), "grown")).otherwise(nobody)
+        pairs = F.map_values(F.map_zip_with(by_name(m, "weight"), brought, lambda _, w, b: F.struct(F.coalesce(w, F.lit(0.0)).alias("w"), F.coalesce(b, F.lit(0.0)).alias("b"))))
+        return F.struct(m["month"].alias("month"), m["gross"].alias("gross"), F.when(i == F.size("own") - 1, m["ending"]).otherwise(0.0).alias("sold"), pairs.alias("pairs"))
+
+    path = path.select("signal", F.transform("own", with_pairs).alias("path"))
+    cases = path.withColumn("cost_bps", F.explode(F.array(*map(F.lit, costs_bps))))
+    none = F.expr("cast(array() as array<struct<month:string,turnover:double,fee:double,net:double>>)")
+
+    def step(done: Column, m: Column) -> Column:
+        before = F.coalesce(F.try_element_at(done, F.lit(-1))["net"], F.lit(0.0))
+        turnover = F.aggregate(m["pairs"], F.lit(0.0), lambda s, p: s + F.abs(p["w"] - p["b"] / (1 + before)))
+        fee = (turnover + m["sold"]) * F.col("cost_bps") / 1e4
+        row = F.struct(m["month"].alias("month"), turnover.alias("turnover"), fee.alias("fee"), (m["gross"] - fee).alias("net"))
+        return F.when((F.size(done) > 0) & (before <= -1), done).otherwise(F.concat(done, F.array(row)))
+
+    folded = cases.select("signal", "cost_bps", F.explode(F.aggregate("path", none, step)).alias("m"))
+    return folded.select("signal", "cost_bps", "m.month", "m.turnover", "m.fee", "m.net", F.when(F.col("m.net") <= -1, "insolvent").otherwise("complete").alias("status"))
 
 
 def performance(returns: DataFrame, keys: list[str], order: str, value: str, per_year: int = 12) -> DataFrame:
     """keys with n, total_return, sharpe (null at no variance), max_drawdown (at most zero, from a peak of at least one)."""
     w = Window.partitionBy(*keys).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    nav = returns.withColumn("nav", F.exp(F.sum(F.log1p(value)).over(upto)))
+    nav = returns.withColumn("nav", F.product(1 + F.col(value)).over(upto))
     nav = nav.withColumn("fall", F.col("nav") / F.greatest(F.lit(1.0), F.max("nav").over(upto)) - 1)
     spread = F.stddev_samp(value)
     return nav.groupBy(*keys).agg(
@@ -133,5 +132,5 @@ def performance(returns: DataFrame, keys: list[str], order: str, value: str, per
 def cumulative_nav(returns: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """returns with nav, the product of 1 + value so far, peak and the fall from it."""
     upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = returns.withColumn("nav", F.exp(F.sum(F.log1p(value)).over(upto)))
+    out = returns.withColumn("nav", F.product(1 + F.col(value)).over(upto))
     return out.withColumn("drawdown", 1 - F.col("nav") / F.max("nav").over(upto))

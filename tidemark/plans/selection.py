@@ -323,6 +323,15 @@ SQL = {
         aff as (select batch, a, z, sum(case when (a + z) / 2 * w >= o then w else -w end) sw, sum(case when (a + z) / 2 * w >= o then o else -o end) so from seg join book using (batch) group by batch, a, z),
         r as (select batch, a, (1000000 + 0.001 * so) / (1 + 0.001 * sw) v, z from aff)
         select batch, round(arg_min(v, a), 4) root from r join ok using (batch) where v >= a - 1e-9 and v <= z + 1e-9 group by batch""",
+    # in integers of a millionth: what the book costs at each name's own break point tells on which side of the root that lies
+    "post_fee_root_exact": _BOOK + """, n as (select batch, security_id, cast(round(w * 1000000) as hugeint) w, cast(round(o * 1000000) as hugeint) o from book),
+        ok as (select batch from n group by 1 having sum(abs(w)) < 1000000000 and sum(abs(o)) < 1000000000000000),
+        turn as (select a.batch, a.security_id, a.w, a.o, sign(a.w)::hugeint * a.o * 1000000000 + sum(abs(sign(a.w)::hugeint * a.o * b.w - b.o * abs(a.w))) < 1000000000000000 * abs(a.w) below
+                 from n a join n b using (batch) where a.w <> 0 group by a.batch, a.security_id, a.w, a.o),
+        total as (select batch, sum(case when below then abs(w) else -abs(w) end)::hugeint s, sum(case when below then -sign(w)::hugeint * o else sign(w)::hugeint * o end)::hugeint l from turn group by 1),
+        fixed as (select batch, coalesce(sum(abs(o)) filter (w = 0), 0)::hugeint f from n group by 1),
+        r as (select batch, 1000000000000000::hugeint - l - f p, 1000000000::hugeint + s q from total join fixed using (batch) join ok using (batch))
+        select fixed.batch, cast(p // gcd(p, q) as varchar) num, cast(q // gcd(p, q) as varchar) den from fixed left join r using (batch)""",
     "whole_share_sizing": """with r as (select l_suppkey batch, l_partkey security_id, max(l_extendedprice) * case when l_partkey % 2 = 0 then 1 else -1 end t, max(l_quantity) p, count(*) o from lineitem group by 1, 2),
         q as (select *, cast(trunc(t / p) as bigint) shares from r) select batch, security_id, shares, shares - o trade, round(abs((shares - o) * p) * 0.001, 6) fee from q""",
     "collateral_status": """with a as (select l_suppkey account, max(s_acctbal) * 1000 cash, sum(case when l_returnflag = 'R' then l_extendedprice else 0.0 end) rs, sum(case when l_returnflag = 'R' then -l_extendedprice else l_extendedprice end) net from lineitem join supplier on l_suppkey = s_suppkey group by 1)

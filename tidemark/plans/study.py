@@ -113,9 +113,23 @@ _WEIGHTS_SQL = _signal_sql("") + """,
   weights as (select signal, month, symbol, case when rk <= 2 then -0.5 when rk > n - 2 then 0.5 else 0.0 end::double weight from ranked where n >= 4)"""
 _FORWARD_SQL = f"forwards as (select * from (select symbol, month, lead(first_price, 2) {_W} / lead(first_price, 1) {_W} - 1 forward from monthly) where forward is not null)"
 _RETURNS_SQL = f"with {PANEL_SQL}, {DAILY_SQL}, rets as (select symbol, strftime(date, '%Y-%m') \"month\", avg(daily_return) / 100 r from daily where daily_return is not null group by all)"
-_NAV_SQL = _RETURNS_SQL + ", navs as (select *, exp(sum(ln(1 + r)) over w) nav from rets window w as (partition by symbol order by month rows unbounded preceding))"
+_NAV_SQL = _RETURNS_SQL + ", navs as (select *, product(1 + r) over w nav from rets window w as (partition by symbol order by month rows unbounded preceding))"
+
+#: The recurrence as a recursive query over (signal, cost): only the net return goes from month to month.
+_NET_SQL = _WEIGHTS_SQL.replace("with ", "with recursive ", 1) + f""", {_FORWARD_SQL},
+    held as (select signal, month, symbol, weight w, weight * (1 + forward) g from weights join forwards using (symbol, month) where weight <> 0),
+    mon as (select *, lead(month) over (partition by signal order by month) nx, row_number() over (partition by signal order by month) t from (select signal, month, sum(g) - sum(w) gross, sum(abs(g)) ending from held group by 1, 2)),
+    sides as (select signal, month, symbol, w, 0::double b from held union all select h.signal, nx, symbol, 0::double, g from held h join mon using (signal, month) where nx is not null),
+    pairs as (select signal, month, list({{'w': w, 'b': b}}) ps from (select signal, month, symbol, sum(w) w, sum(b) b from sides group by all) group by 1, 2),
+    path as (select signal, month, t, gross, case when nx is null then ending else 0.0 end sold, ps from mon join pairs using (signal, month)),
+    net as (select signal, cost_bps, t, month, tu turnover, (tu + sold) * cost_bps / 1e4 fee, gross - (tu + sold) * cost_bps / 1e4 net
+            from (select *, list_sum(list_transform(ps, lambda p: abs(p.w - p.b))) tu from path, (select unnest({list(study.COSTS_BPS)}) cost_bps) where t = 1)
+      union all select signal, cost_bps, t, month, tu, (tu + sold) * cost_bps / 1e4, gross - (tu + sold) * cost_bps / 1e4
+            from (select path.*, cost_bps, list_sum(list_transform(ps, lambda p: abs(p.w - p.b / (1 + net.net)))) tu from net join path on path.signal = net.signal and path.t = net.t + 1 where net.net > -1))"""
 
 SQL = {
+    "period_return_net": _NET_SQL + " select signal, cost_bps, month, round(turnover, 6) turnover, round(fee, 6) fee, round(net, 6) net, case when net <= -1 then 'insolvent' else 'complete' end status from net",
+    "signal_cost_grid": _NET_SQL + """ select signal, cost_bps, count(*) "months", round(avg(net), 6) mean_net, round(sum(fee), 6) fees, case when min(net) <= -1 then 'insolvent' else 'complete' end status from net group by 1, 2""",
     "daily_returns": f"with {PANEL_SQL}, {DAILY_SQL} select symbol, date, round(price, 6) price, round(daily_return, 6) daily_return from daily",
     "monthly_ohlc": f"with {MONTHLY_SQL} select symbol, month, first_date, round(first_price, 6) first_price, round(close, 6) \"close\", round(daily_max, 6) daily_max from monthly",
     "monthly_panel": f"""with {PANEL_SQL}, ends as (select * from panel qualify row_number() over (partition by symbol, strftime(date, '%Y-%m') order by date desc) = 1),
