@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import as_known_at
 from tidemark.operators.clocks import NONE, parse_instants, parser, shape_mask, to_instants
-from tidemark.operators.deliveries import SeenLedger, pack_bits, repeated_deliveries, unpack_bits
+from tidemark.operators.deliveries import Conflict, SeenLedger, pack_bits, repeated_deliveries, unpack_bits
 from tidemark.operators.history import FOREVER, bitemporal_ledger, current_history
 from tidemark.operators.intervals import continuous_periods, merge_disjoint
 from tidemark.operators.spikes import exact_median, flag_readings
@@ -222,6 +222,59 @@ def test_ledger_remembers_over_batches(spark, tmp_path):
     assert len(ledger.versions()) == 2
 
 
+def messages(spark, data):
+    return spark.createDataFrame([(k, t, i, bytes(p, "utf-8")) for k, t, i, p in data], "key string, received_us bigint, delivery_id bigint, digest binary")
+
+
+def test_bits_decide_over_batches(spark, tmp_path):
+    ledger = SeenLedger(spark, f"file://{tmp_path}/seen", 2)
+    rng, seen = random.Random(8), {}
+    for batch in range(11):  # goes past a compaction
+        data = [(f"k{rng.randrange(60)}", rng.choice([None, *range(5)]), batch * 100 + i, rng.choice("xy")) for i in range(40)]
+        came = ledger.admit(messages(spark, data + data[:3]))
+        got = {(r["key"], r["delivery_id"], r["kept_id"], r["kind"]) for r in came.repeats.collect()}
+        kept, want = set(), set()
+        for k, t, i, p in sorted(data, key=lambda m: (m[1] is None, m[1] or 0, m[2])):
+            if k not in seen:
+                seen[k] = (i, p)
+                kept.add((k, i))
+            else:
+                want.add((k, i, seen[k][0], "same" if seen[k][1] == p else "differs"))
+        assert got == want and {(r["key"], r["delivery_id"]) for r in came.admitted.collect()} == kept
+    assert {(r["key"], r["delivery_id"]) for r in ledger.admitted().collect()} == {(k, i) for k, (i, _) in seen.items()}
+    assert any(c["kind"] == "base" for c in ledger.commits()) and len(ledger.versions()) < 11
+    ledger.vacuum()
+    assert ledger.admitted().count() == len(seen)
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path, monkeypatch):
+    one, two = (SeenLedger(spark, f"file://{tmp_path}/seen", 2) for _ in range(2))
+    stale = two.commits()
+    one.admit(messages(spark, [("a", 1, 1, "x"), ("b", 1, 2, "x")]))
+    with monkeypatch.context() as m:
+        m.setattr(two, "commits", lambda: stale)
+        with pytest.raises(Conflict):
+            two.admit(messages(spark, [("a", 2, 3, "x"), ("c", 2, 4, "x")]))
+    assert {r["key"] for r in one.admitted().collect()} == {"a", "b"}
+    came = two.admit(messages(spark, [("a", 2, 3, "x"), ("c", 2, 4, "x")]))
+    assert [tuple(r) for r in came.repeats.collect()] == [("a", 3, 1, "same")] and [r["key"] for r in came.admitted.collect()] == ["c"]
+    assert {r["key"] for r in one.admitted().collect()} == {"a", "b", "c"}
+
+
+def test_a_batch_run_again_changes_nothing(spark, tmp_path):
+    ledger = SeenLedger(spark, f"file://{tmp_path}/seen", 2)
+    rows_of = lambda came: (sorted(map(tuple, came.admitted.select("key", "delivery_id").collect())), sorted(map(tuple, came.repeats.collect())))
+    first = rows_of(ledger.admit(messages(spark, [("a", 1, 1, "x"), ("a", 2, 2, "y")]), "s:0"))
+    assert rows_of(ledger.admit(messages(spark, [("a", 1, 1, "x"), ("a", 2, 2, "y")]), "s:0")) == first == ([("a", 1)], [("a", 2, 1, "differs")])
+    assert len(ledger.versions()) == 1
+
+
+def test_hot_identifiers_go_beside_their_shard(spark):
+    data = [(i, i % 50, "hot" if i % 3 else f"e{i % 40}", f'{{"a":{i % 4}}}') for i in range(600)]
+    run = lambda n: {tuple(r) for r in repeated_deliveries(deliveries(spark, data), "delivery_id", "received_at", "event_id", "payload", hot_rows=n).collect()}
+    assert run(100) == run(10_000) and len(run(100)) == 600 - 1 - len({i % 40 for i in range(0, 600, 3)})
+
+
 def test_bitmaps():
     bits = np.array([1, 0, 1, 1] * 9, dtype=bool)
     assert (unpack_bits(pack_bits(bits), 40)[:36] == bits).all() and not unpack_bits(None, 5).any()

@@ -135,6 +135,13 @@ def test_stream_is_deduped_over_batches(spark, tmp_path):
         stream.dedupe_stream(spark.readStream.schema(schema).parquet(str(source)), seen, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = sorted(r["delivery_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [1, 2, 3, 14]
+    spark.createDataFrame([(1, None, "e1", "{}"), (99, None, "e2", '{"other": 1}')], schema).coalesce(1).write.mode("append").parquet(str(source))
+    again = lambda how: stream.dedupe_stream(spark.readStream.schema(schema).parquet(str(source)), seen, str(tmp_path / "out"), str(tmp_path / "cp"), conflicts=how)
+    with pytest.raises(Exception, match="another payload"):
+        again("raise").awaitTermination()
+    again("keep").awaitTermination()
+    assert sorted(r["delivery_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == got
+    assert [r["delivery_id"] for r in spark.read.parquet(str(tmp_path / "out-conflicts")).collect()] == [99]
 
 
 def test_admission_of_events(spark):

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import ledger, lineage, retrieval, stats
+from tidemark.operators.deliveries import LEAST_SHARDS, SeenLedger
 from tidemark.plans.study import _NAV_SQL, _RETURNS_SQL, _capped, cumulative_nav, rounded
 from tidemark.plans.views import PANEL_SQL, segment_panel
+from tidemark.session import shared_path
 from tidemark.streaming import events as stream
 from tidemark.tables import load, micros
 
@@ -281,6 +283,14 @@ def event_identity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """The deliveries as a stream, from its first offset to its end: what the ledger kept, as read back from the sink."""
+    root = shared_path(spark, "stream")
+    came = spark.readStream.schema(load(spark, d, "quote_events").schema).parquet(f"{d}/quote_events.parquet")
+    stream.dedupe_stream(came, SeenLedger(spark, f"{root}/seen", LEAST_SHARDS), f"{root}/kept", f"{root}/progress", conflicts="keep").awaitTermination()
+    return spark.read.parquet(f"{root}/kept").select(F.col("key").alias("event_id"), "delivery_id")
+
+
+def stream_first_payloads(spark: SparkSession, d: str) -> DataFrame:
     return stream.first_payloads(load(spark, d, "quote_events")).select("event_id", "delivery_id")
 
 
@@ -364,6 +374,7 @@ SQL = {
     "page_slice": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 100 offset 200",
     "event_identity": "select distinct source_id, sha256('archive:' || source_id) event_id, 'archive:' || security_id route from quotes where source_id is not null and security_id is not null",
     "stream_dedupe": f"with {_PAYLOAD} select k event_id, arg_min(delivery_id, (received_at, delivery_id)) delivery_id from ev where k is not null group by 1",
+    "stream_first_payloads": f"with {_PAYLOAD} select k event_id, arg_min(delivery_id, (received_at, delivery_id)) delivery_id from ev where k is not null group by 1",
     "stream_conflicts": f"with {_PAYLOAD} select k event_id, count(distinct payload) n_payloads, count(*) n_deliveries from ev where k is not null group by 1 having n_payloads > 1",
 }
 
@@ -372,6 +383,6 @@ QUERIES = {
     for q in (
         price_conflicts, inventory_conflicts, ledger_running_cash, ledger_positions, event_timeline, dividend_claims, nav_valuation, ledger_reconcile, nav_returns, drawdown_curve, performance_summary, turnover_metric, hac_tstat,
         walk_forward_folds, purged_embargo_folds, fold_test_means, pass_rate_gate, bm25_index_stats, bm25_topk, retrieval_recall_mrr, normalize_text, dedupe_first_rank, field_match_accuracy, memory_search, batch_outcomes, candidate_status,
-        graph_closure, reverse_lineage, operation_rollup, leakage_overlap, preference_pairs, idempotent_insert, recovery_queue, budget_running_commit, outcome_rollup, page_slice, event_identity, stream_dedupe, stream_conflicts,
+        graph_closure, reverse_lineage, operation_rollup, leakage_overlap, preference_pairs, idempotent_insert, recovery_queue, budget_running_commit, outcome_rollup, page_slice, event_identity, stream_dedupe, stream_first_payloads, stream_conflicts,
     )
 }
