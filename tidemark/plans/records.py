@@ -285,7 +285,7 @@ def event_identity(spark: SparkSession, d: str) -> DataFrame:
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """The deliveries as a stream, from its first offset to its end: what the ledger kept, as read back from the sink."""
     root = shared_path(spark, "stream")
-    came = spark.readStream.schema(load(spark, d, "quote_events").schema).parquet(f"{d}/quote_events.parquet")
+    came = spark.readStream.schema(load(spark, d, "quote_events").schema).parquet(f"{d}/quote_events.parque[t]")  # as a pattern, so that a file and a folder will do
     stream.dedupe_stream(came, SeenLedger(spark, f"{root}/seen", LEAST_SHARDS), f"{root}/kept", f"{root}/progress", conflicts="keep").awaitTermination()
     return spark.read.parquet(f"{root}/kept").select(F.col("key").alias("event_id"), "delivery_id")
 
