@@ -102,7 +102,7 @@ def test_ledger_keeps_what_it_supersedes(spark):
     kept = {(r["source"], r["status"], r["valid_from"], r["valid_to"], r["recorded_to"]) for r in ledger.collect()}
     assert ("3", "superseded", us(20), us(30), us(26)) in kept
     assert ("2", "current", us(10), us(20), None) in kept
-    assert ("2", "split", us(20), FOREVER, us(25)) in kept
+    assert ("1", "split", us(10), FOREVER, us(10)) in kept and ("2", "split", us(20), FOREVER, us(25)) in kept
     assert {s for s, status, *_ in kept if status == "void"} == {"5", "6"}
     now = rows(current_history(ledger, plan, ["symbol", "exchange"]))
     assert now == [("A", "X", "E", us(0), us(20)), ("A", "Z", "E", us(20), us(40))]
@@ -130,6 +130,32 @@ def test_history_against_instants(spark, target):
     assert ledger_of(spark, [])[0].count() == 0
 
 
+@pytest.mark.parametrize("target", [None, 2, 6])
+@pytest.mark.parametrize("shape", ["mixed", "rising", "falling"])
+def test_one_row_rules_at_every_instant_of_both_times(spark, target, shape):
+    """Against what is believed by the rules of the rows recorded by then, looked up for each pair of instants."""
+    rng = random.Random(f"{shape}{target}")
+    data = []
+    for i in range(60):
+        a = rng.randrange(40)
+        recorded = {"mixed": rng.choice([None, *range(12)]), "rising": a // 2, "falling": 40 - a}[shape]
+        data.append((rng.choice("AAAB"), rng.choice("pq"), rng.choice(["E", None]), a, rng.choice([None, a + rng.randrange(1, 25)]), recorded, str(i)))
+    ledger, _ = ledger_of(spark, data + data[:4], target)
+    pieces = ledger.filter("status <> 'void'").collect()
+    assert len({(r["key"], r["source"], r["valid_from"], r["recorded_to"]) for r in pieces}) == len(pieces)
+    for key in "AB":
+        mine = [r for r in data if r[0] == key]
+        own = [r for r in pieces if r["key"] == key]
+        for now in range(-1, 43):
+            known = [r for r in mine if r[5] is None or r[5] <= now]
+            for v in range(-1, 68, 3):
+                started = [r for r in known if r[3] <= v]
+                ruling = max(started, key=lambda r: (r[3], -1 if r[5] is None else r[5], r[6]), default=None)
+                want = [] if ruling is None or (ruling[4] is not None and ruling[4] <= v) else [ruling[6]]
+                held = [r["source"] for r in own if r["valid_from"] <= us(v) < r["valid_to"] and (r["recorded_from"] is None or r["recorded_from"] <= us(now)) and (r["recorded_to"] is None or r["recorded_to"] > us(now))]
+                assert held == want, (key, now, v)
+
+
 def readings(spark, values, key="S"):
     return spark.createDataFrame([(key, at(i), f"{key}{i}", v, "clash", 1) for i, v in enumerate(values)], "security string, at timestamp_ntz, id string, price string, kind string, x int")
 

@@ -26,7 +26,7 @@ def test_query(spark, con, name):
         assert QUERIES[name](spark, SF_DIR).count() >= 0
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p6_found", "borrow_interval_join", "ledger_running_cash", "event_timeline", "budget_running_commit"])
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p3_ledger", "p6_found", "borrow_interval_join", "ledger_running_cash", "event_timeline", "budget_running_commit"])
 @pytest.mark.parametrize("rows", [3, 25])
 def test_query_with_every_key_cut_into_shards(spark, con, name, rows, monkeypatch):
     monkeypatch.setattr("tidemark.timeshard.TARGET_ROWS", rows)

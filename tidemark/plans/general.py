@@ -89,15 +89,19 @@ SQL = {
         run as (select *, sum(fresh) over (partition by security_id order by a rows unbounded preceding) n from mark)
         select security_id, any_value(symbol) symbol, any_value(exchange) exchange, min(a) from_us,
                case when max(till) = 9223372036854775807 then -1 else max(till) end to_us from run group by security_id, n""",
+    # no sweep: each row's neighbours are looked for among all rows of its key
     "p3_ledger": """
         with r as (select distinct security_id k, upper(trim(symbol, chr(32) || chr(9) || chr(10) || chr(13))) symbol, exchange, source_id s, epoch_us(effective_from) a,
                           coalesce(epoch_us(effective_to), 9223372036854775807) b, epoch_us(available_at) r from security_history),
-        v as (select *, k is null or symbol is null or a is null or b <= a void from r),
-        w as (select *, lead(a) over o na, lead(r) over o nr from v where not coalesce(void, false)
-              window o as (partition by k order by a, r nulls first, s nulls first, symbol nulls first, exchange nulls first, b)),
-        l as (select k, symbol, exchange, s, a, b, r, nr till, 'superseded' status from w where na = a
-              union all select k, symbol, exchange, s, a, least(b, coalesce(na, b)), r, null, 'current' from w where na is null or na > a
-              union all select k, symbol, exchange, s, na, b, r, case when r is null or nr > r then nr else r end, case when r is null or nr > r then 'split' else 'preempted' end from w where na > a and na < b
+        v as (select *, coalesce(k is null or symbol is null or a is null or b <= a, false) void from r),
+        g as (select *, row_number() over (partition by k order by r nulls first, s nulls first, symbol, exchange nulls first, b, a) o from v where not void),
+        p as (select j.k, j.o, arg_max(i.o, (i.a, i.o)) po from g j join g i on i.k = j.k and i.o < j.o and i.a <= j.a group by 1, 2),
+        c as (select j.k, j.o, min(i.a) ct from g j join g i on i.k = j.k and i.o < j.o and i.a > j.a group by 1, 2),
+        n as (select k, a, max(o) o, lead(a) over (partition by k order by a) na from g group by 1, 2),
+        l as (select g.k, symbol, exchange, s, g.a, least(b, coalesce(na, b)) b, r, null till, 'current' status from g join n on n.k = g.k and n.o = g.o
+              union all select j.k, i.symbol, i.exchange, i.s, j.a, least(i.b, coalesce(ct, i.b)), i.r, coalesce(j.r, -9223372036854775808),
+                case when i.r is not distinct from j.r then 'preempted' when i.a = j.a then 'superseded' else 'split' end
+                from g j join p on p.k = j.k and p.o = j.o join g i on i.k = p.k and i.o = p.po left join c on c.k = j.k and c.o = j.o where i.b > j.a
               union all select k, symbol, exchange, s, a, nullif(b, 9223372036854775807), r, null, 'void' from v where void)
         select k security_id, symbol, exchange, s source, a valid_from, b valid_to, r recorded_from, till recorded_to, status from l""",
     "p6_found": """

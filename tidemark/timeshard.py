@@ -1,9 +1,10 @@
 """Cutting hot keys into time shards, so that no ordered scan puts a whole hot key into one task.
 
-An ordered operator runs its window over (key, shard) instead of key. A key is hot if it has more than
-`target` rows; `target` is at least TARGET_ROWS and at least one MAX_HOT-th of all rows, so at most
-MAX_HOT keys are hot and at most 2 * MAX_HOT + 1 shards of them exist: what is collected and broadcast
-here has that bound whatever the size of the table. All other keys are one shard, number 0.
+An ordered operator runs its window or sweep over (key, shard) instead of key. A key is hot if it holds more rows than a
+task should get: a quarter of an even share of the table for each core, within what the memory of a core holds sorted.
+So what is cut follows from the table and the cluster, not from one fixed size. At most MAX_HOT keys are hot and 2 * MAX_HOT + 1
+shards of them exist: what is collected and broadcast here has that bound whatever the size of the table. All other keys
+are one shard, number 0.
 
 Each operator then mends its own shard edges: by a carry-in (a running value of all earlier shards), by
 a halo (copies of the neighbouring rows) or by stitching the edge rows of neighbouring shards.
@@ -11,18 +12,36 @@ a halo (copies of the neighbouring rows) or by stitching the edge rows of neighb
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TARGET_ROWS = 2_000_000
-MAX_HOT = 4096
-MAX_SHARDS_OF_KEY = 1024
+from tidemark.session import checkpoint
+
+TARGET_ROWS: int | None = None  # a fixed size in place of the one that follows from table and cluster
+LEAST_ROWS, BYTES_OF_ROW = 50_000, 1_000
+MAX_HOT, MAX_SHARDS_OF_KEY = 65_536, 8_192
 SHARD = "_shard"
 
 
+def _bytes(text: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", text.strip().lower()).groups()
+    return int(number) * 1024 ** (" kmgt".index(unit) if unit else 0)
+
+
+def rows_of_shard(spark: SparkSession, all_rows: int) -> int:
+    """How many rows of one key a task should get."""
+    conf = spark.sparkContext.getConf()
+    memory = conf.get("spark.driver.memory" if spark.sparkContext.master.startswith("local[") else "spark.executor.memory", "1g")
+    parallel = max(1, spark.sparkContext.defaultParallelism)
+    at_once = parallel if spark.sparkContext.master.startswith("local[") else int(conf.get("spark.executor.cores", "2"))
+    most = max(LEAST_ROWS, _bytes(memory) // max(1, at_once) // BYTES_OF_ROW)
+    return max(min(most, max(LEAST_ROWS, all_rows // (4 * parallel))), all_rows // MAX_HOT)
+
+
 @dataclass
 class ShardPlan:
     keys: list[str]
@@ -30,7 +49,6 @@ class ShardPlan:
     bounds: DataFrame | None = None  # keys..., _bounds array<bigint>
     shards: DataFrame | None = None  # keys..., _shard: every shard of the hot keys
     hot: int = 0
-    counts: dict = field(default_factory=dict)
 
     def assign(self, df: DataFrame) -> DataFrame:
         """Adds _shard: how many of the key's bounds are not after the row's time."""
@@ -43,6 +61,13 @@ class ShardPlan:
     def only_hot(self, df: DataFrame) -> DataFrame:
         return df.join(F.broadcast(self.bounds.select(*self.keys)), self.keys, "left_semi")
 
+    def not_hot(self, df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(self.bounds.select(*self.keys)), self.keys, "left_anti")
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df as a checkpoint if there are hot keys, whose edges are mended by reading it again; else df as it is."""
+        return checkpoint(df) if self.hot else df
+
     def carry_in(self, summary: DataFrame, *values: Column) -> DataFrame:
         """Of a summary with one row per hot (key, shard): what is aggregated of all earlier shards, for each shard.
         The summary has at most 2 * MAX_HOT + 1 rows, so the result may be broadcast."""
@@ -51,32 +76,36 @@ class ShardPlan:
         return spine.select(*self.keys, SHARD, *[v.over(w).alias(f"_carry{i}") for i, v in enumerate(values)])
 
 
-def plan_shards(df: DataFrame, keys: list[str], time: str, target_rows: int | None = None, least_rows: int = 1, size: Column | None = None) -> ShardPlan:
+def plan_shards(df: DataFrame, keys: list[str], time: str, target_rows: int | None = None, least_rows: int = 1, sized: DataFrame | None = None, size: Column | None = None) -> ShardPlan:
     """Finds the hot keys of df and the time bounds of their shards.
 
-    time is a bigint column. Every shard but perhaps a key's only one gets at least least_rows rows (needed for
-    halos), counted as `size` says. Rows of equal key and time always share a shard. Rows with a null key or time must be gone already.
+    time is a bigint column. Every shard but perhaps a key's only one gets at least least_rows rows (needed for halos) of
+    `sized` (df if it is not given), counted as `size` says. Rows of equal key and time always share a shard. Rows with a
+    null key or time must be gone already.
     """
-    target = TARGET_ROWS if target_rows is None else target_rows
     per_key = df.groupBy(*keys).count()
     all_rows, most = per_key.agg(F.sum("count"), F.max("count")).first()
-    target = max(target, (all_rows or 0) // MAX_HOT)
+    spark = df.sparkSession
+    target = target_rows or TARGET_ROWS or rows_of_shard(spark, all_rows or 0)
     if not most or most <= target:
         return ShardPlan(keys, time)
-    hot = per_key.filter(F.col("count") > target).collect()  # at most MAX_HOT rows
-    spark = df.sparkSession
-    names = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], df.select(*keys).schema)
-    mine = df.join(F.broadcast(names), keys, "left_semi")
-    cuts = min(MAX_SHARDS_OF_KEY, max(-(-r["count"] // target) for r in hot))
+    hot = {tuple(r[k] for k in keys): r["count"] for r in per_key.filter(F.col("count") > target).collect()}  # at most MAX_HOT rows
+    names = spark.createDataFrame(list(hot), df.select(*keys).schema)
+    cuts = min(MAX_SHARDS_OF_KEY, -(-most // target))
     grid = [i / cuts for i in range(1, cuts)]
-    bounds = {}
-    for r in mine.groupBy(*keys).agg(F.percentile_approx(time, F.array(*map(F.lit, grid)), 20 * cuts).alias("q")).collect():
+    found = df.join(F.broadcast(names), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(time, F.array(*map(F.lit, grid)), 20 * cuts).alias("q")).collect()
+    bounds: dict[tuple, list[int]] = {}
+    for r in found:
         key = tuple(r[k] for k in keys)
-        own = max(1, round(len(grid) / (min(len(grid), -(-next(h["count"] for h in hot if tuple(h[k] for k in keys) == key) // target) - 1) or 1)))
-        bounds[key] = sorted(set(r["q"][own - 1 :: own]))
-    table = lambda b: spark.createDataFrame([(*k, v) for k, v in b.items()], T.StructType([*names.schema.fields, T.StructField("_bounds", T.ArrayType(T.LongType()))]))
+        parts = min(cuts, -(-hot[key] // target))
+        bounds[key] = sorted({r["q"][round(i * cuts / parts) - 1] for i in range(1, parts)})
+
+    def table(b: dict[tuple, list[int]]) -> DataFrame:
+        return spark.createDataFrame([(*k, v) for k, v in b.items()], T.StructType([*names.schema.fields, T.StructField("_bounds", T.ArrayType(T.LongType()))]))
+
     plan = ShardPlan(keys, time, table(bounds))
     if least_rows > 1:  # join shards that are too small to hold a halo
+        mine = plan.only_hot(df if sized is None else sized)
         sizes = {(tuple(r[k] for k in keys), r[SHARD]): r["n"] for r in plan.assign(mine).groupBy(*keys, SHARD).agg((F.count("*") if size is None else size).alias("n")).collect()}
         for key, own in bounds.items():
             kept, run = [], 0
