@@ -13,7 +13,7 @@ from tidemark.operators.clocks import NONE, parse_instants, parser, shape_mask,
 from tidemark.operators.deliveries import Conflict, SeenLedger, pack_bits, repeated_deliveries, unpack_bits
 from tidemark.operators.history import FOREVER, bitemporal_ledger, current_history
 from tidemark.operators.intervals import continuous_periods, merge_disjoint
-from tidemark.operators.spikes import exact_median, flag_readings
+from tidemark.operators.spikes import exact_median, flag_readings, grouped_median
 from tidemark.timeshard import plan_shards
 
 T0 = datetime(2024, 1, 1)
@@ -175,10 +175,33 @@ def test_readings(spark):
 def test_exact_median(spark):
     rng = random.Random(2)
     data = [(k, rng.choice([rng.random(), 0.25, 1e-7, 900.0])) for k in "abc" for _ in range(rng.choice([1, 40, 41]))]
-    for large in (True, False):
-        got = dict(map(tuple, exact_median(spark.createDataFrame(data, "key string, v double"), "key", "v", large).collect()))
-        for k in "abc":
-            assert got[k] == pytest.approx(float(np.median([v for x, v in data if x == k])), rel=1e-12)
+    got = dict(map(tuple, exact_median(spark.createDataFrame(data, "key string, v double"), "key", "v").collect()))
+    near = grouped_median(np.array([v for _, v in data]), np.array(["abc".index(k) for k, _ in data]), 4)
+    for i, k in enumerate("abc"):
+        want = float(np.median([v for x, v in data if x == k]))
+        assert got[k] == pytest.approx(want, rel=1e-12) and near[i] == pytest.approx(want, rel=1e-12)
+    assert np.isnan(near[3])
+
+
+@pytest.mark.parametrize("target", [None, 30])
+def test_rolling_filter_against_plain_loops(spark, target):
+    rng = random.Random(6)
+    values = [100.0]
+    for _ in range(150):
+        values.append(round(values[-1] * (1 + rng.choice([0, 0.001, -0.002, 0.003])), 4))
+    for i in (20, 70, 71, 110):
+        values[i] = round(values[i] * rng.choice([0.5, 1.9]), 4)
+    df = readings(spark, [str(v) for v in values])
+    got = {r["reading_id"] for r in flag_readings(df, "security", "at", "id", "price", 8.0, target_rows=target, rule="plain", half=4).filter("kind = 'spike'").collect()}
+    lx = np.log(values)
+    typical = np.median([abs(b - a) for a, b in zip(lx, lx[1:]) if a != b])
+    want = set()
+    for i in range(len(lx)):
+        window = lx[max(0, i - 4) : i + 5]
+        mad = np.median(np.abs(window - np.median(window)))
+        if abs(lx[i] - np.median(window)) > 8.0 * 1.4826 * (mad or typical):
+            want.add(f"S{i}")
+    assert got == want and {"S20", "S70", "S71", "S110"} <= got
 
 
 def instant(text, zone="Europe/Berlin", order=1):

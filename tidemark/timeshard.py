@@ -50,13 +50,14 @@ class ShardPlan:
     shards: DataFrame | None = None  # keys..., _shard: every shard of the hot keys
     hot: int = 0
 
-    def assign(self, df: DataFrame) -> DataFrame:
-        """Adds _shard: how many of the key's bounds are not after the row's time."""
+    def assign(self, df: DataFrame, hot: str | None = None) -> DataFrame:
+        """Adds _shard: how many of the key's bounds are not after the row's time; and `hot`, whether its key is."""
         if self.bounds is None:
-            return df.withColumn(SHARD, F.lit(0))
+            return df.withColumn(SHARD, F.lit(0)).withColumns({hot: F.lit(False)} if hot else {})
         hit = df.join(F.broadcast(self.bounds), self.keys, "left")
         before = F.size(F.filter("_bounds", lambda b: b <= F.col(self.time)))
-        return hit.withColumn(SHARD, F.when(F.col("_bounds").isNull(), 0).otherwise(before)).drop("_bounds")
+        hit = hit.withColumn(SHARD, F.when(F.col("_bounds").isNull(), 0).otherwise(before))
+        return (hit.withColumn(hot, F.col("_bounds").isNotNull()) if hot else hit).drop("_bounds")
 
     def only_hot(self, df: DataFrame) -> DataFrame:
         return df.join(F.broadcast(self.bounds.select(*self.keys)), self.keys, "left_semi")
