@@ -12,7 +12,7 @@ from tidemark.operators.asof import as_known_at
 from tidemark.operators.clocks import NONE, parse_instants, parser, shape_mask, to_instants
 from tidemark.operators.deliveries import Conflict, SeenLedger, pack_bits, repeated_deliveries, unpack_bits
 from tidemark.operators.history import FOREVER, bitemporal_ledger, current_history
-from tidemark.operators.intervals import continuous_periods, merge_disjoint
+from tidemark.operators.intervals import continuous_periods, merge_lists
 from tidemark.operators.spikes import exact_median, flag_readings, grouped_median
 from tidemark.timeshard import plan_shards
 
@@ -62,9 +62,9 @@ def test_periods_against_points(spark, target):
     assert got == want
 
 
-def test_merge_disjoint_is_a_union():
-    a, b = merge_disjoint(np.array([1, 2, 8, 9]), np.array([5, 3, 9, 12]))
-    assert list(zip(a, b)) == [(1, 5), (8, 12)]
+def test_lists_of_each_owner_are_merged():
+    owner, a, b = merge_lists(np.array([0, 0, 0, 0, 3, 3]), np.array([1, 8, 2, 9, 1, 4]), np.array([5, 9, 3, 12, 2, 6]))
+    assert list(zip(owner, a, b)) == [(0, 1, 5), (0, 8, 12), (3, 1, 2), (3, 4, 6)]
 
 
 @pytest.mark.parametrize("target", [None, 3])
