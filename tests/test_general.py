@@ -1,6 +1,7 @@
 """The general problems on small fixtures: nulls, ties, repeated rows, empty tables, clashing columns, brute force."""
 
 import random
+import zoneinfo
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -8,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.zones import release
 from tidemark.operators.asof import as_known_at
 from tidemark.operators.clocks import NONE, parse_instants, parser, shape_mask, to_instants
 from tidemark.operators.deliveries import Conflict, SeenLedger, pack_bits, repeated_deliveries, unpack_bits
@@ -227,6 +229,19 @@ def test_instants(text, zone, order, want):
     assert instant(text, zone, order) == expected
 
 
+def test_closing_rules_hold_for_ever():
+    assert instant("2150-07-01 10:00", "America/New_York") == int(np.datetime64("2150-07-01T14:00", "us").astype(np.int64))
+    zones = ("America/New_York", "Europe/Berlin", "Africa/Casablanca", "Australia/Lord_Howe", "Asia/Kolkata", "Pacific/Apia", "America/Nuuk")
+    rng = random.Random(1)
+    for name in zones:
+        zone = zoneinfo.ZoneInfo(name)
+        at = [datetime(rng.choice([1850, 1890, 1921, 1945, 1983, 2024, 2037, 2085, 2099, 2100, 2101, 2499, 2500, 2501, 3333, 9000]), rng.randrange(1, 13), rng.randrange(1, 29), rng.randrange(24), rng.randrange(60)) for _ in range(400)]
+        at += [datetime(y, 1, 1) for y in (2100, 2500, 2900)] + [datetime(y, 12, 31, 23, 59) for y in (2099, 2499, 2899)]
+        local = np.array([(t - datetime(1970, 1, 1)) // timedelta(seconds=1) for t in at])
+        want = [int(s - t.replace(tzinfo=zone).utcoffset().total_seconds()) for s, t in zip(local.tolist(), at)]
+        assert release().table(name).to_utc(local).tolist() == want, name
+
+
 def test_masks_are_parsed_once():
     assert shape_mask("2021-03-04T05:06") == "9999-99-99a99:99"
     assert parser("9999-99-99a99:99") is parser("9999-99-99a99:99")

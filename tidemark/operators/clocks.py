@@ -2,8 +2,8 @@
 
 A text's shape mask has 9 for each digit and a for each letter, and every other character as it is, so all texts of one
 mask have their fields at the same places. Each distinct mask is compiled to a parser once per process; the parser reads
-the fields of all texts of its mask at once from a matrix of code points. Local times become instants through versioned
-zone transition tables.
+the fields of all texts of its mask at once from a matrix of code points. Local times become instants through transition
+tables of one release of the zone data, which the driver sends to all workers.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.zones import zone_table, zone_version
+from tidemark.functions.zones import Release, release
 from tidemark.tables import need
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -97,7 +97,7 @@ def parser(mask: str) -> Callable | None:
     span = {k: shaped.span(k) for k, v in shaped.groupdict().items() if v is not None}
     first = lambda *names: next((span[n] for n in names if n in span), None)
 
-    def parse(points: np.ndarray, zones: np.ndarray, day_first: np.ndarray) -> np.ndarray:
+    def parse(points: np.ndarray, zones: np.ndarray, day_first: np.ndarray, data: Release) -> np.ndarray:
         fields = lambda *names: _number(points, first(*names))
         year, ok = fields("y1", "y2", "y3", "y4", "y5"), np.ones(len(points), bool)
         if "p" in span:
@@ -127,10 +127,10 @@ def parser(mask: str) -> Callable | None:
                     ok &= ~zone_word
                 else:
                     local = parse_local(day, month, year, hour, minute, second, ok)
-                    named = _zoned(local, _words(points, span["ap"]), zones, ok.copy())
+                    named = _zoned(local, _words(points, span["ap"]), zones, ok.copy(), data)
                     ok_half = ok & ~zone_word & (hour >= 1) & (hour <= 12)
                     local12 = parse_local(day, month, year, hour % 12 + np.maximum(half, 0), minute, second, ok_half)
-                    plain = _in_zones(local12, zones, ok_half)
+                    plain = _in_zones(local12, zones, ok_half, data)
                     return np.where(zone_word, _micro(named, micro), _micro(plain, micro))
             ok &= (hour >= 1) & (hour <= 12)
             hour = hour % 12 + np.maximum(half, 0)
@@ -146,8 +146,8 @@ def parser(mask: str) -> Callable | None:
             return _micro(np.where(ok, local - sign * (hours * 3600 + minutes * 60), NONE), micro)
         word = first("z1", "z2", "z3")
         if word:
-            return _micro(_zoned(local, _words(points, word), local_zone, ok), micro)
-        return _micro(_in_zones(local, local_zone, ok), micro)
+            return _micro(_zoned(local, _words(points, word), local_zone, ok, data), micro)
+        return _micro(_in_zones(local, local_zone, ok, data), micro)
 
     def parse_local(day, month, year, hour, minute, second, ok):
         days, real = _days(year, month, day)
@@ -168,7 +168,7 @@ def _count_parser(match: re.Match) -> Callable | None:
     if unit is None or (part[0] >= 0 and unit != 1):
         return None
 
-    def parse(points: np.ndarray, zones: np.ndarray, day_first: np.ndarray) -> np.ndarray:
+    def parse(points: np.ndarray, zones: np.ndarray, day_first: np.ndarray, data: Release) -> np.ndarray:
         if unit == 10**9:  # the last three digits are cut off, which also keeps 19 digits within 64 bits
             return _number(points, (0, digits[1] - 3))
         out = _number(points, digits) * (10**6 // unit)
@@ -179,18 +179,18 @@ def _count_parser(match: re.Match) -> Callable | None:
     return parse
 
 
-def _in_zones(local: np.ndarray, zones: np.ndarray, ok: np.ndarray) -> np.ndarray:
+def _in_zones(local: np.ndarray, zones: np.ndarray, ok: np.ndarray, data: Release) -> np.ndarray:
     out = np.full(len(local), NONE)
     codes, names = pd.factorize(zones)
     for code, name in enumerate(names):
-        table = zone_table(name, zone_version())
+        table = data.table(name) if isinstance(name, str) else None
         mine = ok & (codes == code)
         if table is not None:
             out[mine] = table.to_utc(local[mine])
     return out
 
 
-def _zoned(local: np.ndarray, words: np.ndarray, zones: np.ndarray, ok: np.ndarray) -> np.ndarray:
+def _zoned(local: np.ndarray, words: np.ndarray, zones: np.ndarray, ok: np.ndarray, data: Release) -> np.ndarray:
     """A zone name or an abbreviation in the text; an abbreviation is read as the clock's zone uses it."""
     out = np.full(len(local), NONE)
     codes, pairs = pd.factorize(pd.MultiIndex.from_arrays([words, zones]))
@@ -198,20 +198,21 @@ def _zoned(local: np.ndarray, words: np.ndarray, zones: np.ndarray, ok: np.ndarr
         mine = ok & (codes == code)
         if not mine.any():
             continue
-        own = zone_table(zone, zone_version()) if isinstance(zone, str) else None
+        own = data.table(zone) if isinstance(zone, str) else None
         named = own.named_to_utc(word.upper(), local[mine]) if own is not None else None
         if named is None and word.upper() in UNIVERSAL:
             named = local[mine]
         if named is None and ("/" in word or word in ("UTC", "GMT")):
-            table = zone_table(word, zone_version())
+            table = data.table(word)
             named = None if table is None else table.to_utc(local[mine])
         if named is not None:
             out[mine] = named
     return out
 
 
-def parse_instants(texts: pd.Series, zones: pd.Series, day_first: pd.Series) -> np.ndarray:
-    """Microseconds of each text, NONE where it denotes no instant."""
+def parse_instants(texts: pd.Series, zones: pd.Series, day_first: pd.Series, data: Release | None = None) -> np.ndarray:
+    """Microseconds of each text, NONE where it denotes no instant; by this machine's release if none is given."""
+    data = data or release()
     stripped = np.array([t.strip() if isinstance(t, str) else "" for t in texts], dtype=object)
     stripped[:] = [_SURPLUS.sub("", t) if len(t) > LONG else t for t in stripped]
     zone_names, orders = zones.to_numpy(dtype=object), day_first.fillna(-1).to_numpy(dtype=np.int64)
@@ -225,15 +226,10 @@ def parse_instants(texts: pd.Series, zones: pd.Series, day_first: pd.Series) ->
             continue
         rows = order[cuts[i] : cuts[i + 1]]
         points = np.array(stripped[rows].tolist(), dtype=f"U{len(mask)}").view(np.uint32).reshape(len(rows), len(mask))
-        out[rows] = parse(points, zone_names[rows], orders[rows])
+        out[rows] = parse(points, zone_names[rows], orders[rows], data)
     return out
 
 
-def _instants(texts: pd.Series, zones: pd.Series, day_first: pd.Series) -> pd.Series:
-    out = parse_instants(texts, zones, day_first)
-    return pd.Series(out, dtype="Int64").mask(out == NONE)
-
-
 def clock_orders(written: DataFrame, clocks: DataFrame) -> DataFrame:
     """Each clock (clock, zone) with day_first, learnt from all its numeric dates (clock, text): true if more of them can
     only be read day first than only month first; null if nothing tells, which is read as day first."""
@@ -261,5 +257,11 @@ def to_instants(written: DataFrame, clocks: DataFrame) -> DataFrame:
     if clocks.limit(SMALL_CLOCKS + 1).count() <= SMALL_CLOCKS:  # one row for each clock: broadcast within this bound only
         orders = F.broadcast(orders)
     joined = written.join(orders, written["clock"] == orders["_clock"], "left")
-    found: Column = F.pandas_udf(_instants, T.LongType())("text", "_zone", "_day_first")
-    return joined.withColumn("instant_us", found).drop("_clock", "_zone", "_day_first").withColumn("zone_version", F.lit(zone_version()))
+    shared = written.sparkSession.sparkContext.broadcast(release())  # some 600 small files
+
+    def instants(texts: pd.Series, zones: pd.Series, day_first: pd.Series) -> pd.Series:
+        out = parse_instants(texts, zones, day_first, shared.value)
+        return pd.Series(out, dtype="Int64").mask(out == NONE)
+
+    found: Column = F.pandas_udf(instants, T.LongType())("text", "_zone", "_day_first")
+    return joined.withColumn("instant_us", found).drop("_clock", "_zone", "_day_first").withColumn("zone_version", F.lit(release().version))
