@@ -31,10 +31,14 @@ def pieces_of(text, cuts, overlap):
 @settings(max_examples=150, deadline=None)
 def test_cuts_are_those_of_the_walk(texts, limit):
     overlap = limit // 5
-    cuts, longest = cut_texts(texts, limit, overlap)
-    for text, own, stretch in zip(texts, cuts, longest, strict=True):
+    cuts, broken = cut_texts(texts, limit, overlap)
+    for text, own, stretches in zip(texts, cuts, broken, strict=True):
         assert list(own) == walk(text, limit, overlap)
-        assert stretch == max(map(len, re.split("[ \t\n\r。！？]", text)))
+        for end, stretch in zip(own, stretches, strict=True):
+            left, right = (re.split("[ \t\n\r。！？]", t) for t in (text[:end], text[end:]))
+            assert stretch == (len(left[-1]) + len(right[0]) if left[-1] and right[0] else 0)
+        longest = max(map(len, re.split("[ \t\n\r。！？]", text)))
+        assert (longest > limit) == (max(stretches) > limit)
 
 
 @pytest.mark.parametrize("text", ["x", "x" * 1500, "x" * 1501, "x" * 9000, "word " * 3000, "a. b\n\n" * 2000, "\r\n" * 2000, " " * 4000, "。" * 5000, "x" * 1700 + " " + "é" * 4000])

@@ -17,8 +17,10 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = p4_pieces(spark, sf_dir).filter(f"piece_no = 0 and n_chars > {LIMIT}")
-    return long.select("paper_id", F.when(F.col("longest_unbroken") > LIMIT, "hard").otherwise("soft").alias("kind")).distinct()
+    """By the cuts: a text in several pieces was too long, and it is hard if a cut went through a stretch that no piece could
+    have held; every such stretch is cut, as no piece is longer than the limit."""
+    by = p4_pieces(spark, sf_dir).filter("n_pieces > 1").groupBy("paper_id").agg(F.max("unbroken").alias("longest"))
+    return by.select("paper_id", F.when(F.col("longest") > LIMIT, "hard").otherwise("soft").alias("kind"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,8 +55,9 @@ def natural_ends(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return paragraph, sentence | paragraph, word | paragraph
 
 
-def cut_texts(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each text the ends of its pieces, and the longest stretch without a blank or full stop."""
+def cut_texts(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each text the ends of its pieces, and of each end the length of the stretch without a blank or full stop that it
+    cuts in two; 0 at a natural end and at the text's end."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     gap = "\x00"  # keeps the end of a text apart from the start of the next
     points = np.frombuffer((gap.join(texts) + gap).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -68,10 +69,7 @@ def cut_texts(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> t
         marks[ends] = False
     breaks = np.isin(points, BLANKS + FULL_STOPS)
     breaks[ends] = True
-    at = np.flatnonzero(breaks)
-    length = np.diff(np.concatenate(([-1], at))) - 1
-    longest = np.zeros(len(texts), np.int64)
-    np.maximum.at(longest, np.searchsorted(ends, at), length)
+    at = np.concatenate(([-1], np.flatnonzero(breaks)))
 
     # forced cuts: from the last end before a stretch without any, a step at a time until an end is in reach
     step, half = limit - overlap, (limit - overlap) // 2
@@ -102,24 +100,28 @@ def cut_texts(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> t
             break
         met, follow = more, follow[follow]
     cuts = nodes[met & ~is_start]
-    return [c - a for c, a in zip(np.split(cuts, np.searchsorted(cuts, starts[1:])), starts, strict=True)] if len(texts) else [], longest
+    after = np.searchsorted(at, cuts)  # the first break not before a cut, which lies between two characters
+    inside = (at[np.minimum(after, len(at) - 1)] > cuts) & (at[after - 1] < cuts - 1)
+    broken = np.where(inside, at[np.minimum(after, len(at) - 1)] - at[after - 1] - 1, 0)
+    parts = np.searchsorted(cuts, starts[1:])
+    return ([c - a for c, a in zip(np.split(cuts, parts), starts, strict=True)], np.split(broken, parts)) if len(texts) else ([], [])
 
 
 def split_texts(df: DataFrame, item_id: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(item_id, piece_no, n_pieces, begin, end, piece, n_chars, longest_unbroken): the pieces of each text in order.
+    """(item_id, piece_no, n_pieces, begin, end, piece, n_chars, unbroken): the pieces of each text in order.
 
     A text of at most limit characters (code points) is one piece; a null or empty one has none. Pieces have at most limit
     characters; each after the first begins with the last overlap characters of the one before (all of it if shorter). A
     piece ends at the last paragraph end, else sentence or line end, in the second half of what it may take, else at the
-    last word end in all of that, else at the limit. longest_unbroken is the length of the longest stretch without a
-    space, tab, line feed, carriage return or one of 。！？. Dropping each piece's overlap gives the text again. Repeated
+    last word end in all of that, else at the limit. unbroken is the length of the stretch without a space, tab, line feed,
+    carriage return or one of 。！？ that the piece's end cuts in two, 0 where that is a natural end. Dropping each piece's overlap gives the text again. Repeated
     rows are cut each for itself; null ids are kept; other columns are ignored.
     """
     need(df, item_id, text)
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")
     rows = df.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("text")).filter("text <> ''")
-    schema = T.StructType([rows.schema["item_id"], *(T.StructField(n, T.IntegerType()) for n in ("piece_no", "n_pieces", "begin", "end")), T.StructField("piece", T.StringType()), T.StructField("n_chars", T.IntegerType()), T.StructField("longest_unbroken", T.IntegerType())])
+    schema = T.StructType([rows.schema["item_id"], *(T.StructField(n, T.IntegerType()) for n in ("piece_no", "n_pieces", "begin", "end")), T.StructField("piece", T.StringType()), T.StructField("n_chars", T.IntegerType()), T.StructField("unbroken", T.IntegerType())])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +133,7 @@ def split_texts(df: DataFrame, item_id: str, text: str, limit: int = LIMIT, over
                 while b < len(texts) and (b == a or size + len(texts[b]) <= CHARS_AT_ONCE):
                     size += len(texts[b])
                     b += 1
-                cuts, longest = cut_texts(texts[a:b], limit, overlap)
+                cuts, broken = cut_texts(texts[a:b], limit, overlap)
                 counts = np.array([len(c) for c in cuts])
                 finish = np.concatenate(cuts)
                 begin = np.concatenate([np.concatenate(([0], np.maximum(c[:-1] - overlap, 0))) for c in cuts])
@@ -141,7 +143,7 @@ def split_texts(df: DataFrame, item_id: str, text: str, limit: int = LIMIT, over
                 ints = (number, counts[owner], begin, finish)
                 chars = np.array([len(t) for t in texts[a:b]])
                 ids = batch.column("item_id").slice(a, b - a).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int32)) for x in ints), pa.array(pieces, pa.string()), pa.array(chars[owner].astype(np.int32)), pa.array(longest[owner].astype(np.int32))], names)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int32)) for x in ints), pa.array(pieces, pa.string()), pa.array(chars[owner].astype(np.int32)), pa.array(np.concatenate(broken).astype(np.int32))], names)
                 a = b
 
     return rows.mapInArrow(run, schema)
