@@ -1,6 +1,7 @@
 """Problem 9: items of varying length in containers of fixed capacity.
 
-Only the histogram of lengths comes to the driver; it has as many entries as the capacity, times the salts of the ranks.
+Only the histogram of lengths comes to the driver; it has as many entries as the capacity times LEAST_SALTS, and one more for
+each ROWS_OF_SALT items.
 Lengths are grouped into classes; shallow combinations (at most three different classes, each repeated) that fill a
 container to within a window are enumerated, non-negative least squares says how often each is used so that the classes
 are used up, the counts are rounded down, and what is left is packed greedily, the longest first, into the fullest
@@ -25,8 +26,8 @@ from tidemark.tables import need
 CAPACITY = 2048
 WINDOW = 16  # tokens that a combination may leave unfilled
 THIRDS = 4  # of the third classes that complete two others, the best so many are enumerated
-HELD_BACK = 0.2  # share of all tokens, in the shortest items, kept to fill the room that combinations leave
-ROWS_OF_SALT, LEAST_SALTS, MOST_SALTS = 2_000_000, 16, 512
+HELD_BACK = (0.5, 0.25)  # shares of all tokens, in the shortest items, kept to fill the room that combinations leave: each is tried
+ROWS_OF_SALT, LEAST_SALTS = 2_000_000, 8
 
 
 def class_edges(capacity: int) -> np.ndarray:
@@ -123,7 +124,12 @@ class PackingPlan:
         return self.containers[at] + (rank - self.ranks[at]) // self.each[at]
 
 
-def plan_packing(histogram: np.ndarray, window: int = WINDOW, held_back: float = HELD_BACK) -> PackingPlan:
+def plan_packing(histogram: np.ndarray, window: int = WINDOW, held_back: tuple[float, ...] = HELD_BACK) -> PackingPlan:
+    """The plan with the fewest containers of those that hold back each of these shares."""
+    return min((_plan_packing(histogram, window, share) for share in held_back), key=lambda p: p.n_containers)
+
+
+def _plan_packing(histogram: np.ndarray, window: int, held_back: float) -> PackingPlan:
     """The plan for histogram[s] items of each size s in 0..capacity (none of size 0)."""
     capacity = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
@@ -225,25 +231,32 @@ def pack_items(sizes: DataFrame, item_id: str, size: str, capacity: int = CAPACI
     need(sizes, item_id, size)
     spark = sizes.sparkSession
     rows = sizes.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{size}`").cast("bigint").alias("n")).filter("n > 0")
-    folder = shared_path(spark, "sizes")  # lengths may be dear to make and are read twice
+    rows = rows.withColumn("spread", F.when(F.col("item_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("item_id")))
+    folder = shared_path(spark, "sizes")  # lengths may be dear to make and are read again; what spreads null ids must not change
     rows.write.parquet(folder)
     rows = spark.read.schema(rows.schema).parquet(folder)
-    salts = min(MOST_SALTS, max(LEAST_SALTS, rows.count() // ROWS_OF_SALT))
-    pieces = rows.select("item_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {capacity}"))).alias("piece_no"))
+    pieces = rows.select("item_id", "n", "spread", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {capacity}"))).alias("piece_no"))
     pieces = pieces.withColumn("size", F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("piece_no") * capacity).cast("int")).drop("n")
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("item_id", "piece_no"), F.lit(salts)).cast("int"))
-    counts = np.zeros((capacity + 1, salts), dtype=np.int64)
-    for r in pieces.groupBy("size", "salt").count().collect():  # at most capacity * MOST_SALTS rows
-        counts[r["size"], r["salt"]] = r["count"]
-    plan = plan_packing(counts.sum(axis=1))
-    before = np.cumsum(counts, axis=1) - counts
-    shared = spark.sparkContext.broadcast((plan, before))
+    histogram = np.zeros(capacity + 1, dtype=np.int64)
+    for r in pieces.groupBy("size").count().collect():  # at most capacity rows
+        histogram[r["size"]] = r["count"]
+    salts = np.maximum(LEAST_SALTS, -(-histogram // ROWS_OF_SALT))  # ranks of a size are given by salt, however many it holds
+    first = np.cumsum(salts) - salts
+    table = F.broadcast(spark.createDataFrame([(int(s), int(salts[s])) for s in np.flatnonzero(histogram)], "size int, salts int"))  # at most capacity rows
+    pieces = pieces.join(table, "size").withColumn("salt", F.pmod(F.xxhash64("spread", "piece_no"), F.col("salts")).cast("int"))
+    counts = np.zeros(int(salts.sum()), dtype=np.int64)
+    for r in pieces.groupBy("size", "salt").count().collect():  # capacity * LEAST_SALTS rows, and one for each ROWS_OF_SALT items
+        counts[first[r["size"]] + r["salt"]] = r["count"]
+    plan = plan_packing(histogram)
+    before = np.cumsum(counts) - counts
+    before -= np.repeat(before[np.minimum(first, len(before) - 1)], salts)
+    shared = spark.sparkContext.broadcast((plan, first, before))
 
     def container(size: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.Series:
-        made, offset = shared.value
+        made, begin, offset = shared.value
         s = size.to_numpy()
-        return pd.Series(made.place(s, offset[s, salt.to_numpy()] + rank.to_numpy(dtype=np.int64)))
+        return pd.Series(made.place(s, offset[begin[s] + salt.to_numpy()] + rank.to_numpy(dtype=np.int64)))
 
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("size", "salt").orderBy("item_id", "piece_no")) - 1)
+    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("size", "salt").orderBy("item_id", "piece_no", "spread")) - 1)
     found = F.pandas_udf(container, T.LongType())("size", "salt", "rank")
     return ranked.select("item_id", "piece_no", F.col("size").alias("n_tokens"), found.alias("container_id"))
