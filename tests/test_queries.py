@@ -5,11 +5,11 @@ import os
 import pytest
 from comparing import assert_same, tables
 
-from tidemark.plans import checklists, general, records, selection, study
+from __spark_entry__ import MODULES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = {n: q for m in (general, study, selection, records, checklists) for n, q in m.QUERIES.items()}
-SQL = {n: s for m in (general, study, selection, records, checklists) for n, s in m.SQL.items()}
+QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
+SQL = {n: s for m in MODULES for n, s in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
 
@@ -34,4 +34,4 @@ def test_query_with_every_key_cut_into_shards(spark, con, name, rows, monkeypatc
 
 
 def test_modules_name_no_query_twice():
-    assert len(QUERIES) == sum(len(m.QUERIES) for m in (general, study, selection, records, checklists))
+    assert len(QUERIES) == sum(len(m.QUERIES) for m in MODULES)

@@ -67,7 +67,7 @@ def permitted_sources(spark: SparkSession, d: str) -> DataFrame:
 SQL = {
     "source_checklist": """with c as (select doc_id, list_filter([case when text is null or text = '' then 'no_text' end, case when lang is null then 'no_language' end, case when security_id is null then 'no_security' end,
         case when available_at is null then 'unknown_time' end, case when coalesce(n_chars, 0) > 5000 then 'too_long' end], lambda x: x is not null) r from documents) select doc_id, coalesce(array_to_string(r, ','), '') reasons, len(r) = 0 accepted from c""",
-    "quote_containment": """with p as (select paper_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') t, list_transform(string_split(lower(coalesce(title, '?')), ' ')[1:2], lambda w: trim(regexp_replace(w, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ')) w from corpus)
+    "quote_containment": """with p as (select paper_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') t, list_transform(list_prepend(lower(coalesce(title, '?')), string_split(lower(coalesce(title, '?')), ' ')), lambda w: trim(regexp_replace(w, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ')) w from corpus)
         select distinct paper_id, coalesce(list_bool_and(list_transform(w, lambda x: contains(t, x))), false) supported from p""",
     "evidence_coverage": "select distinct l_suppkey item_id, l_partkey field from lineitem a where l_returnflag = 'R' and not exists (select 1 from lineitem b where b.l_suppkey = a.l_suppkey and b.l_partkey = a.l_partkey and b.l_returnflag = 'N')",
     "judgment_gaps": "select c_nationkey query_id, 20 - count(distinct c_mktsegment || ':' || (c_custkey % 4)) n_missing from customer where c_acctbal > 5000 group by 1 having n_missing > 0",

@@ -302,11 +302,14 @@ _FILLS = """fills as (select l_suppkey account, l_partkey security_id, l_orderke
     cast(round((-(case when l_returnflag = 'R' then -l_quantity else l_quantity end) * (l_extendedprice / l_quantity) - abs((case when l_returnflag = 'R' then -l_quantity else l_quantity end) * (l_extendedprice / l_quantity)) * (4.0 / 1e4)) * 10000) as bigint) cash from lineitem)"""
 _LABELS = f"{PANEL_SQL}, labels as (select symbol series, row_number() over (partition by symbol order by date) - 1 idx, date - date '1970-01-01' st, price from panel), lab as (select series, idx, st, st + 10 en, st + 10 + case when st % 3 = 0 then 5 else 0 end av, price from labels)"
 _FOLDS = f"""with {_LABELS}, n as (select series, max(idx) + 1 n from lab group by 1),
-    f as (select series, unnest(range(0, cast(least(100, (n - 201) // 60 + 1) as bigint))) fold from n where n > 200),
+    f as (select series, unnest(range(0, cast((n - 201) // 60 + 1 as bigint))) fold from n where n > 200),
     fs as (select f.series, fold, 200 + fold * 60 fi, st ts from f join lab on lab.series = f.series and lab.idx = 200 + fold * 60),
     folds as (select lab.series, fold, idx, price, case when idx >= fi then 'test' when av < ts then 'train' else 'purged' end "role" from lab join fs on lab.series = fs.series where idx < fi + 60)"""
-_ASCII = """notes as (select paper_id doc_id, min(coalesce(title || chr(10), '') || text) raw from corpus where text is not null group by 1), tok as (select doc_id, regexp_extract_all(lower(regexp_replace(raw, '[^\\x00-\\x7F]', ' ', 'g')), '[a-z0-9]+') ts from notes)"""
-_HITS = f"""with {_ASCII}, q as (select unnest({[list(q) for q in QUESTIONS]}) q), ask as (select distinct q[1] query_id, unnest(regexp_extract_all(lower(q[2]), '[a-z0-9]+')) term from q),
+_WORDS = "'[\\p{L}\\p{N}]+'"
+_NOTES = f"""notes as (select paper_id doc_id, min(coalesce(title || chr(10), '') || text) raw from corpus where text is not null group by 1), tok as (select doc_id, regexp_extract_all(lower(raw), {_WORDS}) ts from notes)"""
+_ASKED = f"""asked as (select q[1] query_id, q[2] query from (select unnest({[list(q) for q in QUESTIONS]}) q) union all
+      select paper_id, string_agg(distinct title, chr(10) order by title) from corpus where try_cast(regexp_extract(paper_id, '([0-9]+)$', 1) as bigint) % 100 = 0 and title is not null group by 1)"""
+_HITS = f"""with {_NOTES}, {_ASKED}, ask as (select distinct query_id, unnest(regexp_extract_all(lower(query), {_WORDS})) term from asked),
     post as (select doc_id, len(ts) l, unnest(ts) term from tok), tf as (select doc_id, l, term, count(*) tf from post group by all), df as (select term, count(*) df from tf group by 1), tot as (select count(*) n, avg(len(ts)) m from tok),
     sc as (select query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))) score from tf join df using (term) join ask using (term), tot group by 1, 2),
     hits as (select *, cast(row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as int) "rank" from sc where score > 0 qualify "rank" <= 10)"""
@@ -340,10 +343,10 @@ SQL = {
         select series, idx, case when idx between 120 and 180 then 'test' when st <= z and en >= a then 'purged' when st > z and st <= z + 7 then 'embargoed' else 'train' end "role" from lab join b using (series)""",
     "fold_test_means": _FOLDS + " select series, cast(fold as int) fold, count(*) n, round(avg(price), 2) mean_price from folds where \"role\" = 'test' group by 1, 2",
     "pass_rate_gate": """with b as (select o_orderkey k, o_totalprice < 400000 b, o_totalprice < 370000 a from orders) select count(*) cases, count(*) filter (b) passed_before, count(*) filter (a) passed_after, (count(*) filter (b) - count(*) filter (a)) * 20 >= count(*) filter (b) regressed from b""",
-    "bm25_index_stats": f"with {_ASCII}, tf as (select doc_id, term, count(*) tf from (select doc_id, unnest(ts) term from tok) group by all), n as (select count(*) n from tok) select term, count(*) df, cast(sum(tf) as bigint) cf, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) idf from tf, n group by 1",
+    "bm25_index_stats": f"with {_NOTES}, tf as (select doc_id, term, count(*) tf from (select doc_id, unnest(ts) term from tok) group by all), n as (select count(*) n from tok) select term, count(*) df, cast(sum(tf) as bigint) cf, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) idf from tf, n group by 1",
     "bm25_topk": _HITS + " select query_id, \"rank\", doc_id, round(score, 5) score from hits",
-    "retrieval_recall_mrr": _HITS + f""", w as (select unnest({[[q, t.split()[1].lower() if " " in t else t] for q, t in QUESTIONS]}) w), rel as (select w[1] query_id, doc_id from w join tok on list_contains(ts, w[2])),
-        per as (select w[1] query_id, count(rel.doc_id) r from w left join rel on rel.query_id = w[1] group by 1), got as (select query_id, count(*) f, min("rank") fr from hits join rel using (query_id, doc_id) group by 1),
+    "retrieval_recall_mrr": _HITS + f""", w as (select query_id, coalesce(ws[2], ws[1]) word from (select query_id, regexp_extract_all(lower(query), {_WORDS}) ws from asked)), rel as (select w.query_id, doc_id from w join tok on list_contains(ts, word)),
+        per as (select w.query_id, count(rel.doc_id) r from w left join rel on rel.query_id = w.query_id group by 1), got as (select query_id, count(*) f, min("rank") fr from hits join rel using (query_id, doc_id) group by 1),
         anyh as (select query_id, count(*) h from hits group by 1), a as (select * from per left join got using (query_id) left join anyh using (query_id))
         select count(*) filter (r > 0) n_answerable, round(avg(coalesce(f, 0) / r) filter (r > 0), 6) recall, round(avg(coalesce(1.0 / fr, 0)) filter (r > 0), 6) mrr, round(avg(case when h > 0 then 1.0 else 0.0 end) filter (r = 0), 6) false_positive, round(avg(case when h > 0 then 0.0 else 1.0 end) filter (r = 0), 6) abstention from a""",
     "normalize_text": "select doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') text from documents",
@@ -357,7 +360,7 @@ SQL = {
         select c_mktsegment segment, case when n = 0 then 'missing' when f = 0 then 'invalid' else 'passed' end status, count(*) n_cases from b group by 1, 2""",
     "candidate_status": """with s as (select l_partkey k, count(*) n, count(*) filter (l_returnflag = 'R') r from lineitem group by 1)
         select p_partkey, case when n is null then 'source_unavailable' when r = 0 then 'unbound' when n < 20 then 'needs_review' else 'compiled' end status from part left join s on k = p_partkey""",
-    "graph_closure": """with recursive e as (select 'n' || c_nationkey src, 'c' || c_custkey dst from customer union select 'c' || o_custkey, 'o' || o_orderkey from orders union select 'o' || l_orderkey, 'p' || l_partkey from lineitem),
+    "graph_closure": """with recursive e as (select 'n' || c_nationkey src, 'c' || c_custkey dst from customer union select 'c' || o_custkey, 'o' || o_orderkey from orders union select 'o' || l_orderkey, 'p' || l_partkey from lineitem union select 'p' || l_partkey, 's' || l_suppkey from lineitem),
         r as (select 'n3' node, 0 depth union select dst, depth + 1 from r join e on src = node) select node, cast(min(depth) as int) depth from r group by 1""",
     "reverse_lineage": "select distinct o_orderkey, o_custkey from lineitem join orders on l_orderkey = o_orderkey where l_partkey = 5 order by 1 limit 100",
     "operation_rollup": "with a as (select l_orderkey, count(*) n from lineitem group by 1) select o_orderpriority, count(*) operations, cast(sum(coalesce(n, 0)) as bigint) attempts, count(*) filter (n is null) pending from orders left join a on o_orderkey = l_orderkey group by 1",
