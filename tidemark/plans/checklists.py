@@ -55,7 +55,9 @@ def direction_amendments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def solvency_guard(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(funding.collateral(_accounts(spark, d)).filter("nav <= 0").select("account", "nav"), "nav", places=2)
+    """Suppliers whose balance does not pay for a thousandth of what they sold less what came back, the other way round."""
+    accounts = _accounts(spark, d).select("account", (F.col("cash") / 1000).alias("cash"), (-F.col("notional") / 1000).alias("notional"))
+    return rounded(funding.collateral(accounts).filter("nav <= 0").select("account", "nav"), "nav", places=2)
 
 
 def permitted_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +79,7 @@ SQL = {
         case when o_orderpriority <> '5-LOW' then case when o_orderkey % 2 = 0 then 'high_long' else 'low_long' end end rev, o_custkey % 10 = 0 held from orders),
         w as (select *, case when held then 'compilation_held' when rev is null then 'revision_missing' when review is null or review <> rev then 'direction_not_confirmed' when rev = claim then 'unchanged' end reason from s)
         select k case_id, case when reason is null then rev else claim end direction, reason from w""",
-    "solvency_guard": """with a as (select l_suppkey account, max(s_acctbal) * 1000 + sum(case when l_returnflag = 'R' then -l_extendedprice else l_extendedprice end) nav from lineitem join supplier on l_suppkey = s_suppkey group by 1) select account, round(nav, 2) nav from a where nav <= 0""",
+    "solvency_guard": """with a as (select l_suppkey account, max(s_acctbal) - sum(case when l_returnflag = 'R' then -l_extendedprice else l_extendedprice end) / 1000 nav from lineitem join supplier on l_suppkey = s_suppkey group by 1) select account, round(nav, 2) nav from a where nav <= 0""",
     "permitted_sources": "select doc_id, available_at expires_at from documents where (content_kind = 'research_note' or lang = 'research_note') and (available_at is null or timestamp '2022-01-01' < available_at)",
 }
 

@@ -126,12 +126,18 @@ def formation_trade_plan(spark: SparkSession, d: str) -> DataFrame:
     return calendar.formation_plan(_sessions(spark, d), 2)
 
 
+def _order_days(spark: SparkSession, d: str) -> DataFrame:
+    """The days on which a nation ordered urgently as its sessions: unlike the sessions table, with gaps."""
+    o, c = load(spark, d, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'"), load(spark, d, "customer")
+    return calendar.unique_sessions(o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("c_nationkey").alias("calendar_id"), F.to_date("o_orderdate").alias("session_date")))
+
+
 def calendar_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return calendar.missing_months(_sessions(spark, d))
+    return calendar.missing_months(_order_days(spark, d))
 
 
 def session_day_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return calendar.day_gaps(_sessions(spark, d))
+    return calendar.day_gaps(_order_days(spark, d), 60)
 
 
 def active_vintages(spark: SparkSession, d: str) -> DataFrame:
@@ -262,6 +268,7 @@ _VALUES = f"""with {_LINE_SELECTED}, {_CELLS}, one as (select security_id, conce
     filled as (select asked.*, v from asked left join best using (security_id, concept, month))"""
 _MEMBERS = "members as (select user_id security_id, event_id, event_type <> 'error' included, ts effective_at, ts + interval 1 hour available_at from events)"
 _SESS = "s as (select distinct calendar_id, session_date from sessions where calendar_id is not null and session_date is not null)"
+_DAYS = "s as (select distinct c_nationkey calendar_id, cast(o_orderdate as date) session_date from orders join customer on o_custkey = c_custkey where o_orderpriority = '1-URGENT' and o_orderstatus = 'F' and o_orderdate is not null and c_nationkey is not null)"
 _PLAN = f"""{_SESS}, laid as (select *, lead(session_date, 2) over w trade_date, lead(session_date) over w nx from s window w as (partition by calendar_id order by session_date)),
     plan as (select calendar_id, session_date formation_date, trade_date from laid where nx is null or date_trunc('month', nx) <> date_trunc('month', session_date))"""
 _CROSS = _signal_sql("trend_3") + ", cs as (select month formation, symbol security_id, score signal, close cap from monthly left join scores using (symbol, month))"
@@ -294,10 +301,10 @@ SQL = {
     "month_end_sessions": f"with {_SESS} select * from (select calendar_id, cast(date_trunc('month', session_date) as date) \"month\", max(session_date) session_date from s group by 1, 2) where session_date between date '2021-01-15' and date '2022-12-20'",
     "june_rebalances": f"with {_SESS} select calendar_id, cast(date_trunc('month', session_date) as date) \"month\", max(session_date) session_date from s where month(session_date) = 6 group by 1, 2",
     "formation_trade_plan": f"with {_PLAN} select * from plan",
-    "calendar_gaps": f"""with {_SESS}, b as (select calendar_id, date_trunc('month', min(session_date)) a, date_trunc('month', max(session_date)) z from s group by 1),
+    "calendar_gaps": f"""with {_DAYS}, b as (select calendar_id, date_trunc('month', min(session_date)) a, date_trunc('month', max(session_date)) z from s group by 1),
         spine as (select calendar_id, cast(unnest(generate_series(a, z, interval 1 month)) as date) "month" from b)
         select * from spine where (calendar_id, month) not in (select (calendar_id, cast(date_trunc('month', session_date) as date)) from s)""",
-    "session_day_gaps": f"with {_SESS}, l as (select calendar_id, lag(session_date) over (partition by calendar_id order by session_date) previous_date, session_date from s) select *, cast(session_date - previous_date as int) as days from l where session_date - previous_date > 4",
+    "session_day_gaps": f"with {_DAYS}, l as (select calendar_id, lag(session_date) over (partition by calendar_id order by session_date) previous_date, session_date from s) select *, cast(session_date - previous_date as int) as days from l where session_date - previous_date > 60",
     "active_vintages": f"with {_PLAN} select calendar_id, cast(unnest(generate_series(date_trunc('month', formation_date) + interval 1 month, date_trunc('month', formation_date) + interval 3 month, interval 1 month)) as date) \"month\", formation_date from plan",
     "compound_return": f"""with {MONTHLY_SQL}, m as (select symbol, month, close / lag(close) over (partition by symbol order by month) - 1 r from monthly),
         l as (select *, row_number() over (partition by symbol order by month desc) k from m where r is not null)

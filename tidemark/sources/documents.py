@@ -46,7 +46,7 @@ def strict_json(text: str, most_bytes: int = MOST_BYTES) -> object:
 
     def depth(v: object) -> int:
         inner: Iterable = v.values() if isinstance(v, dict) else v if isinstance(v, list) else ()
-        return 1 + max(map(depth, inner), default=0)
+        return 1 + max(map(depth, inner), default=0) if isinstance(v, (dict, list)) else 0
 
     if depth(value) > DEEPEST:
         raise ValueError("depth")
