@@ -26,7 +26,7 @@ from tidemark.tables import micros, need
 
 ROWS_OF_SHARD, LEAST_SHARDS = 100_000, 12
 MAX_HOT = 4096
-SAMPLE_ROWS = 2_000_000  # of so many deliveries hot identifiers are looked for; what is missed there is only slower
+SAMPLE_ROWS = 200_000  # of so many deliveries hot identifiers are looked for; what is missed there is only slower
 COMPACT_AFTER = 8  # versions
 ARRIVALS_AT_ONCE = 65_536
 
