@@ -165,7 +165,7 @@ def flag_readings(df: DataFrame, source: str, at: str, reading_id: str, value: s
     plan = plan_shards(rows.select("key", "t"), ["key"], "t", target_rows, least_rows=HALO, sized=read.filter("x > 0"), size=F.count_distinct(F.struct("t", "id")))
     placed = plan.assign(read, "hot").withColumn("halo", F.lit(False))
     if plan.hot:
-        placed = placed.unionByName(_halo(plan, placed.filter("hot and x > 0")))
+        placed = placed.unionByName(_halo(plan, plan.assign(plan.rows, "hot").withColumn("halo", F.lit(False))))
     schema = T.StructType([read.schema["key"], read.schema["id"], T.StructField("kind", T.StringType()), T.StructField("size", T.DoubleType())])
     arrow = pa.schema([f if f.name in ("key", "id") else f for f in _arrow(schema)])
     line = placed.select("key", SHARD, "t", "id", "x", "halo", "hot").repartition("key", SHARD).sortWithinPartitions("key", SHARD, "t", "id", "x")

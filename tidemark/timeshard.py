@@ -49,6 +49,7 @@ class ShardPlan:
     bounds: DataFrame | None = None  # keys..., _bounds array<bigint>
     shards: DataFrame | None = None  # keys..., _shard: every shard of the hot keys
     hot: int = 0
+    rows: DataFrame | None = None  # the hot keys' rows, written once where they are read several times
 
     def assign(self, df: DataFrame, hot: str | None = None) -> DataFrame:
         """Adds _shard: how many of the key's bounds are not after the row's time; and `hot`, whether its key is."""
@@ -81,8 +82,8 @@ def plan_shards(df: DataFrame, keys: list[str], time: str, target_rows: int | No
     """Finds the hot keys of df and the time bounds of their shards.
 
     time is a bigint column. Every shard but perhaps a key's only one gets at least least_rows rows (needed for halos) of
-    `sized` (df if it is not given), counted as `size` says. Rows of equal key and time always share a shard. Rows with a
-    null key or time must be gone already.
+    `sized` (df if it is not given), counted as `size` says; the hot keys' rows of `sized` are written once, as plan.rows.
+    Rows of equal key and time always share a shard. Rows with a null key or time must be gone already.
     """
     per_key = df.groupBy(*keys).count()
     all_rows, most = per_key.agg(F.sum("count"), F.max("count")).first()
@@ -94,7 +95,10 @@ def plan_shards(df: DataFrame, keys: list[str], time: str, target_rows: int | No
     names = spark.createDataFrame(list(hot), df.select(*keys).schema)
     cuts = min(MAX_SHARDS_OF_KEY, -(-most // target))
     grid = [i / cuts for i in range(1, cuts)]
-    found = df.join(F.broadcast(names), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(time, F.array(*map(F.lit, grid)), 20 * cuts).alias("q")).collect()
+    mine = (df if sized is None else sized).join(F.broadcast(names), keys, "left_semi")
+    if sized is not None:
+        mine = checkpoint(mine)
+    found = mine.groupBy(*keys).agg(F.percentile_approx(time, F.array(*map(F.lit, grid)), 20 * cuts).alias("q")).collect()
     bounds: dict[tuple, list[int]] = {}
     for r in found:
         key = tuple(r[k] for k in keys)
@@ -106,7 +110,6 @@ def plan_shards(df: DataFrame, keys: list[str], time: str, target_rows: int | No
 
     plan = ShardPlan(keys, time, table(bounds))
     if least_rows > 1:  # join shards that are too small to hold a halo
-        mine = plan.only_hot(df if sized is None else sized)
         sizes = {(tuple(r[k] for k in keys), r[SHARD]): r["n"] for r in plan.assign(mine).groupBy(*keys, SHARD).agg((F.count("*") if size is None else size).alias("n")).collect()}
         for key, own in bounds.items():
             kept, run = [], 0
@@ -121,4 +124,5 @@ def plan_shards(df: DataFrame, keys: list[str], time: str, target_rows: int | No
         plan.bounds = table(bounds)
     plan.shards = spark.createDataFrame([(*k, i) for k, v in bounds.items() for i in range(len(v) + 1)], T.StructType([*names.schema.fields, T.StructField(SHARD, T.IntegerType())]))
     plan.hot = len(hot)
+    plan.rows = mine if sized is not None else None
     return plan
