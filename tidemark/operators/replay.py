@@ -47,6 +47,9 @@ def replay(fills: DataFrame, actions: DataFrame, initial: DataFrame, fee_bps: fl
     violations: fills and actions of a security from its exit on (trade_after_exit, action_after_exit), and exits without
     an amount while shares are held (unknown_exit). Rows with a null account, security or day are left out.
     """
+    fills = fills.filter("account is not null and security_id is not null and t is not null")
+    actions = actions.filter("security_id is not null and t is not null")
+    initial = initial.filter("account is not null")
     exits = actions.filter("kind = 'terminal_exit'").groupBy("security_id").agg(F.min("t").alias("exit_t"), F.min_by("action_id", F.struct("t", "action_id")).alias("exit_id"))
     done = fills.filter(F.col("t") <= at).join(exits, "security_id", "left")
     late = F.col("exit_t").isNotNull() & (F.col("t") >= F.col("exit_t"))
