@@ -53,11 +53,11 @@ def p9_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every paper's text that is not plain ASCII, wrongly decoded as cp1252 here and restored by a model of the documents."""
-    papers = load(spark, sf_dir, "corpus").filter("text rlike '[^\\\\x00-\\\\x7f]'").select("paper_id", "text").distinct()
+    papers = load(spark, sf_dir, "corpus").filter("text rlike '[^\\\\x00-\\\\x7f]'").select("paper_id", "text")
     bytes_ = F.encode("text", "utf-8")
     garbled = papers.select("paper_id", _as_cp1252(bytes_).alias("text"))
     model = fit_model(load(spark, sf_dir, "documents"), "text")
-    return recover(garbled, "paper_id", "text", model).select(F.col("doc_id").alias("paper_id"), F.md5(F.encode("restored", "utf-8")).alias("restored_md5"))
+    return recover(garbled, "paper_id", "text", model).select(F.col("doc_id").alias("paper_id"), F.md5(F.encode("restored", "utf-8")).alias("restored_md5")).distinct()
 
 
 def _as_cp1252(bytes_):
